@@ -107,7 +107,7 @@ def _shred(body: str) -> _Group:
     def refuse(x):
         raise ValueError(x)
 
-    root = json.loads(body.strip().strip("﻿").strip(), parse_constant=refuse)
+    root = json.loads(body.strip().strip("\ufeff").strip(), parse_constant=refuse)
     if not isinstance(root, dict):
         raise ValueError("no object")
     group = _Group((), ())
@@ -150,7 +150,7 @@ def rejected(records: DataFrame, id_col: str, body_col: str) -> DataFrame:
     def why(body):
         if body is None:
             return "null"
-        text = body.strip().strip("﻿").strip()
+        text = body.strip().strip("\ufeff").strip()
         if not text:
             return "empty"
         try:
