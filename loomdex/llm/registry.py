@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from loomdex.llm import bpe, leaks, survivors
+from loomdex.llm import bpe, encodings, leaks, pages, survivors
 
 QUERIES = {
+    "p2_found": encodings.p2_found,
+    "p2_restored": encodings.p2_restored,
     "p6_found": survivors.p6_found,
     "p6_records": survivors.p6_records,
     "p7_ids": bpe.p7_ids,
     "p8_found": leaks.p8_found,
+    "p9_found": pages.p9_found,
+    "p9_shares": pages.p9_shares,
 }
 
 _COPIES = """
