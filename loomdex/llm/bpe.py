@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.plans.session import spread
+
 #: Fixed value: the pattern that splits a text into words, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -177,7 +179,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(id_col, ids): each text as the ids of its tokens, without special tokens, in one pass over the scan, no shuffle.
+    """(id_col, ids): each text as the ids of its tokens, without special tokens, in one pass over the scan.
 
     NULL and empty texts give an empty list; strings of special tokens are ordinary text; texts of any length are encoded
     whole. Repeated rows stay repeated; extra columns are dropped.
@@ -194,7 +196,7 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DE
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, "ids"])
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` bigint, ids array<int>")
+    return spread(df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))).mapInArrow(run, f"`{id_col}` bigint, ids array<int>")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.plans.session import spread
+
 #: An item is leaked by so many of its consecutive words.
 MIN_WORDS = 12
 #: Characters of a block of the shift table.
@@ -106,12 +108,12 @@ def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """(doc_id, item_id) for every document that holds at least ``run`` consecutive words of an item; distinct per row of the corpus.
 
     The items are a stated query set: they are read to the driver and broadcast in blocks of ITEMS_PER_PASS, each searched
-    against all rows of the corpus without a shuffle. NULL and empty texts hold nothing; items shorter than ``run`` words
+    against all rows of the corpus. NULL and empty texts hold nothing; items shorter than ``run`` words
     can't leak; items that share a passage are all reported; repeated items count once.
     """
     spark = corpus.sparkSession
     known = sorted({(r[0], r[1]) for r in items.select(item_id, item_text).where(f"`{item_text}` IS NOT NULL AND `{item_id}` IS NOT NULL").toLocalIterator()})
-    rows = corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string"))
+    rows = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string")))
     out = None
     for at in range(0, max(1, len(known)), ITEMS_PER_PASS):
         shared = spark.sparkContext.broadcast(WuManber([(i, plain_words(t)) for i, t in known[at : at + ITEMS_PER_PASS]], run))

@@ -9,7 +9,6 @@ characters in lines that aren't prose.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.plans.session import spread
+
 PROSE, LINKS, TAGS, MENU = range(4)
 STATES = ("prose", "link_list", "tag_list", "menu")
 #: A page is flagged if more than this share of its characters is not prose.
@@ -32,6 +33,7 @@ _BREAK = re.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+|</?(?:p|div|h[1-6]|li|ul|o
 _ANCHOR = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*["']?(?://)?([^"'\s<>]+)[^<>]*>""", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/\S*|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}\b(?=$|[\s)\]])", re.I)
+_DOTTED = re.compile(r"[^\W_]\.[^\W_]|://")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _HASH = re.compile(r"(?:^|\s)#[^\s#]+")
 _LABEL = re.compile(r"^\W*(?:tags?|labels?|keywords?|key ?words|topics?|categor(?:y|ies)|stichw(?:o|ö)rter|schlagw(?:o|ö)rter|mots[- ]cl(?:é|e)s|etiquetas|palabras clave|etichette|parole chiave|tagi|słowa kluczowe|теги|метки)\s*[:–—-]", re.I)
@@ -61,7 +63,7 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
     out = []
     for line in lines:
         body = line.strip()
-        urls = sum(m.end() - m.start() for m in _URL.finditer(body)) / len(body)
+        urls = sum(m.end() - m.start() for m in _URL.finditer(body)) / len(body) if _DOTTED.search(body) else 0.0
         plain = _URL.sub(" ", body) if urls else body
         words = _WORD.findall(plain.lower())
         n = len(words)
@@ -74,7 +76,7 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
         # repetition of word pairs within the line, and of the line within the document
         pairs = len(set(zip(words, words[1:], strict=False))) / (n - 1) if n > 3 else 1.0
         times = bodies[body.lower()]
-        label, goods = bool(_LABEL.match(body)), bool(_GOODS.search(body))
+        label, goods = bool(_LABEL.match(body)), "-" in body and bool(_GOODS.search(body))
         form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label)
         sure = None
         if code:
@@ -115,40 +117,45 @@ class Model:
                 lines[state] += n
         known = sorted(words, key=lambda w: (-words[w].sum(), w))[:vocabulary]
         size = np.array([total[s] for s in range(k)], float)
-        self.words = {w: np.log((words[w] + 0.5) / (size + 0.5 * len(known) + 1)) for w in known}
-        # only how a word differs between states counts; one that says little, or is unknown, says nothing
-        self.words = {w: v - v.mean() for w, v in self.words.items() if words[w].sum() >= 3}
-        self.marks = {m: np.log((v + 0.5) / (lines + 2)) for m, v in marks.items()}
-        self.floor = np.log(0.5 / (lines + 2))
-        self.first = np.log(self.first / self.first.sum())
-        self.step = np.log(self.step / self.step.sum(1, keepdims=True))
-
-    def emit(self, form: tuple[int, ...], words: list[str]) -> np.ndarray:
-        at = sum((self.marks.get(f"{i}={x}", self.floor) for i, x in enumerate(form)), np.zeros(len(STATES)))
-        said = [v for w in words if (v := self.words.get(w)) is not None]
-        return at + sum(said) * (min(len(said), 12) / len(said)) if said else at
+        # only how a word differs between states counts; one that is rare says nothing
+        distinct, known = len(known), [w for w in known if words[w].sum() >= 3]
+        said = np.log((np.array([words[w] for w in known]).reshape(-1, k) + 0.5) / (size + 0.5 * distinct + 1))
+        self.words = np.vstack([said - said.mean(1, keepdims=True), np.zeros(k)])
+        self.word_at = {w: i for i, w in enumerate(known)}
+        self.marks = np.vstack([np.log((np.array(list(marks.values())).reshape(-1, k) + 0.5) / (lines + 2)), np.log(0.5 / (lines + 2))])
+        self.mark_at = {m: i for i, m in enumerate(marks)}
+        self.first = np.log(self.first / self.first.sum()).tolist()
+        self.step = np.log(self.step / self.step.sum(1, keepdims=True)).T.tolist()
+
+    def emissions(self, described: list) -> list[list[float]]:
+        """Log-probability of each line in each state: its marks, and up to twelve words' worth of its words."""
+        at = np.array([[self.mark_at.get(f"{i}={x}", -1) for i, x in enumerate(form)] for form, _, _ in described])
+        out = self.marks[at].sum(1)
+        said = [[i for w in words if (i := self.word_at.get(w)) is not None] for _, words, _ in described]
+        sizes = np.array([len(x) for x in said])
+        if sizes.any():
+            rows = np.repeat(np.arange(len(said)), sizes)
+            sums = np.zeros_like(out)
+            np.add.at(sums, rows, self.words[np.fromiter((i for x in said for i in x), np.int64)])
+            out += sums * (np.minimum(sizes, 12) / np.maximum(sizes, 1))[:, None]
+        return out.tolist()
 
     def decode(self, described: list) -> list[int]:
         """The most probable states (Viterbi)."""
+        if not described:
+            return []
+        states, step = range(len(STATES)), self.step
         score, back = None, []
-        cache: dict = {}
-        for form, words, _ in described:
-            key = (form, tuple(words))
-            e = cache.get(key)
-            if e is None:
-                e = cache[key] = self.emit(form, words)
+        for e in self.emissions(described):
             if score is None:
-                score = self.first + e
+                score = [self.first[s] + e[s] for s in states]
                 continue
-            ways = score[:, None] + self.step
-            best = ways.argmax(0)
+            best = [max(states, key=[a + b for a, b in zip(score, step[s], strict=True)].__getitem__) for s in states]
+            score = [score[best[s]] + step[s][best[s]] + e[s] for s in states]
             back.append(best)
-            score = ways[best, range(len(STATES))] + e
-        if score is None:
-            return []
-        path = [int(score.argmax())]
+        path = [max(states, key=score.__getitem__)]
         for best in reversed(back):
-            path.append(int(best[path[-1]]))
+            path.append(best[path[-1]])
         return path[::-1]
 
 
@@ -203,7 +210,7 @@ def line_shares(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     NULL, empty and blank texts have no lines and no characters. Texts are read whole, whatever their length; repeated rows
     stay repeated; an empty corpus trains a flat model and gives no rows; extra columns are dropped.
     """
-    rows = corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
     shared = rows.sparkSession.sparkContext.broadcast(train(rows, vocabulary, rounds))
     schema = pa.schema([("doc_id", pa.int64()), ("lines", pa.int32()), ("chars", pa.int64()), *((s, pa.int64()) for s in STATES)])
 
