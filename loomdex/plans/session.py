@@ -30,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Few, large partitions dealt out to all cores, for passes that compute much per byte; a no-op on inputs of many files.
+
+    Only a scan of fewer partitions than there are cores is shuffled, so what moves is bounded by one wave of tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
