@@ -29,6 +29,9 @@ VOCABULARY = 50_000
 #: Rounds of Viterbi training after the first counts.
 ROUNDS = 1
 
+#: Weight (nats) of a form that leaves no doubt.
+SURE = 20.0
+
 _BREAK = re.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+|</?(?:p|div|h[1-6]|li|ul|ol|br|tr|td|th|table|hr|section|article|nav|body|html|head|title|blockquote|pre)\b[^<>]*>", re.I)
 _ANCHOR = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*["']?(?://)?([^"'\s<>]+)[^<>]*>""", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -65,8 +68,10 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
         body = line.strip()
         urls = sum(m.end() - m.start() for m in _URL.finditer(body)) / len(body) if _DOTTED.search(body) else 0.0
         plain = _URL.sub(" ", body) if urls else body
-        words = _WORD.findall(plain.lower())
+        spelled = _WORD.findall(plain)
+        words = [w.lower() for w in spelled]
         n = len(words)
+        capitals = sum(w[0].isupper() for w in spelled) / max(n, 1)
         hashes = len(_HASH.findall(plain)) / max(n, 1) if "#" in plain else 0.0
         marks = len(_LIST_MARK.findall(plain)) / max(n, 1)
         code = bool(_CODE.search(body))
@@ -77,7 +82,7 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
         pairs = len(set(zip(words, words[1:], strict=False))) / (n - 1) if n > 3 else 1.0
         times = bodies[body.lower()]
         label, goods = bool(_LABEL.match(body)), "-" in body and bool(_GOODS.search(body))
-        form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label)
+        form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label, _bin(capitals, 0.01, 0.3, 0.6))
         sure = None
         if code:
             sure = PROSE
@@ -87,7 +92,7 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
             sure = TAGS
         elif n >= 12 and pairs < 0.5 or 1 <= n <= 4 and times >= 3 and not closed:
             sure = MENU
-        elif n >= 6 and urls == hashes == 0 and marks < 0.2 and closed and cased:
+        elif n >= 6 and urls == hashes == 0 and marks < 0.2 and closed and cased and capitals < 0.5 and any(len(w) <= 3 and w.isalpha() and w.islower() for w in spelled):
             sure = PROSE
         out.append((form, words, sure))
     return out
@@ -131,6 +136,9 @@ class Model:
         """Log-probability of each line in each state: its marks, and up to twelve words' worth of its words."""
         at = np.array([[self.mark_at.get(f"{i}={x}", -1) for i, x in enumerate(form)] for form, _, _ in described])
         out = self.marks[at].sum(1)
+        for i, (_, _, sure) in enumerate(described):
+            if sure:  # a form that leaves no doubt that it isn't prose
+                out[i, sure] += SURE
         said = [[i for w in words if (i := self.word_at.get(w)) is not None] for _, words, _ in described]
         sizes = np.array([len(x) for x in said])
         if sizes.any():
