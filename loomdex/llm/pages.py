@@ -63,6 +63,7 @@ def _bin(x: float, *bounds: float) -> int:
 def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | None]]:
     """For each line its marks, its words, and its state if its form leaves no doubt."""
     bodies = Counter(x.strip().lower() for x in lines)
+    before: set[str] = set()
     out = []
     for line in lines:
         body = line.strip()
@@ -78,11 +79,15 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
         first = next((c for c in body if c.isalpha()), "a")
         closed, cased = bool(_CLOSE.search(body)), first.isupper() and not plain.isupper()
         close = 4 if code else 2 * closed + cased
+        # words shared with the line before
+        own = set(words)
+        same = len(own & before) / len(own | before) if n > 3 and before else 0.0
+        before = own
         # repetition of word pairs within the line, and of the line within the document
         pairs = len(set(zip(words, words[1:], strict=False))) / (n - 1) if n > 3 else 1.0
         times = bodies[body.lower()]
         label, goods = bool(_LABEL.match(body)), "-" in body and bool(_GOODS.search(body))
-        form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label, _bin(capitals, 0.01, 0.3, 0.6))
+        form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label, _bin(capitals, 0.01, 0.3, 0.6), _bin(same, 0.25, 0.6, 1.0))
         sure = None
         if code:
             sure = PROSE
