@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomdex.plans import attributes, index_diff, nested, references
+from loomdex.plans import attributes, index_diff, module_graph, nested, references
 from loomdex.plans.problem_sql import PROBLEM_SQL
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "reachable_from_roots"
 
 QUERIES = {
     "p1_found": index_diff.p1_found,
@@ -18,3 +18,7 @@ QUERIES = {
     "p5_report": references.p5_report,
 }
 SQL = dict(PROBLEM_SQL)
+
+for _module in (module_graph,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
