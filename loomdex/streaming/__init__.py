@@ -1,0 +1 @@
+"""Structured Streaming: log lines in, groups out."""
