@@ -29,6 +29,8 @@ VOCABULARY = 50_000
 #: Rounds of Viterbi training after the first counts.
 ROUNDS = 1
 
+#: A line is keywords if so much of it is phrases repeated out of context.
+STUFFED = 0.36
 #: Weight (nats) of a form that leaves no doubt.
 SURE = 20.0
 
@@ -43,6 +45,7 @@ _LABEL = re.compile(r"^\W*(?:tags?|labels?|keywords?|key ?words|topics?|categor(
 _LIST_MARK = re.compile(r"[;,|/•·*»>–—]|(?<=\s)-(?=\s)")
 _GOODS = re.compile(r"\b[A-Z]{2,5}-\d{3,}\b")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?://(?:\s|$|[^\s./]+(?:\s|$))|/\*|\*/|#include|\}|\{|void\b|int\b|if\s*\(|else\b|for\s*\(|return\b|object\b|string\b|float\b)")
+_SENTENCE = re.compile(r"(?<=[.!?\u2026])\s+")
 _CLOSE = re.compile(r"[.!?…:][\"'”’»)\]*_]*\s*$")
 
 
@@ -60,17 +63,30 @@ def _bin(x: float, *bounds: float) -> int:
     return sum(x >= b for b in bounds)
 
 
+def _stuffed(words: list[str], often: dict[tuple[str, str], int]) -> float:
+    """Share of a line's words that are phrases of two words which the document repeats, but never as part of a longer run:
+    a keyword put into ever other contexts, where a refrain repeats whole sentences."""
+    hits, run = 0, 0
+    for p in zip(words, words[1:], strict=False):
+        if often.get(p, 0) >= 3:
+            run += 1
+        else:
+            hits += run == 1
+            run = 0
+    return 2 * (hits + (run == 1)) / len(words)
+
+
 def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | None]]:
     """For each line its marks, its words, and its state if its form leaves no doubt."""
     bodies = Counter(x.strip().lower() for x in lines)
+    said = [(x, x.strip(), _DOTTED.search(x) is not None) for x in lines]
+    said = [(x, body, sum(m.end() - m.start() for m in _URL.finditer(body)) / len(body) if dotted else 0.0) for x, body, dotted in said]
+    said = [(x, body, urls, plain := _URL.sub(" ", body) if urls else body, _WORD.findall(plain)) for x, body, urls in said]
+    lowered = [[w.lower() for w in x[4]] for x in said]
+    often = Counter(p for words in lowered for p in zip(words, words[1:], strict=False))
     before: set[str] = set()
     out = []
-    for line in lines:
-        body = line.strip()
-        urls = sum(m.end() - m.start() for m in _URL.finditer(body)) / len(body) if _DOTTED.search(body) else 0.0
-        plain = _URL.sub(" ", body) if urls else body
-        spelled = _WORD.findall(plain)
-        words = [w.lower() for w in spelled]
+    for (line, body, urls, plain, spelled), words in zip(said, lowered, strict=True):
         n = len(words)
         capitals = sum(w[0].isupper() for w in spelled) / max(n, 1)
         hashes = len(_HASH.findall(plain)) / max(n, 1) if "#" in plain else 0.0
@@ -83,11 +99,15 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
         own = set(words)
         same = len(own & before) / len(own | before) if n > 3 and before else 0.0
         before = own
-        # repetition of word pairs within the line, and of the line within the document
-        pairs = len(set(zip(words, words[1:], strict=False))) / (n - 1) if n > 3 else 1.0
+        # repetition of word pairs within the line (a refrain's sentences count once), and of the line within the document
+        once = words
+        if n > 12 and len(parts := _SENTENCE.split(plain)) > len(set(parts)):
+            once = _WORD.findall(" ".join(dict.fromkeys(parts)).lower())
+        pairs = len(set(zip(once, once[1:], strict=False))) / (len(once) - 1) if len(once) > 3 else 1.0
         times = bodies[body.lower()]
         label, goods = bool(_LABEL.match(body)), "-" in body and bool(_GOODS.search(body))
-        form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label, _bin(capitals, 0.01, 0.3, 0.6), _bin(same, 0.25, 0.6, 1.0))
+        stuffed = _stuffed(words, often) if n >= 5 else 0.0
+        form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label, _bin(capitals, 0.01, 0.3, 0.6), _bin(same, 0.25, 0.6, 1.0), _bin(stuffed, 0.12, 0.24, STUFFED))
         sure = None
         if code:
             sure = PROSE
@@ -95,7 +115,7 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
             sure = LINKS
         elif hashes >= 0.8 and n or (label and (marks >= 0.3 or n <= 3)) or goods and n <= 14:
             sure = TAGS
-        elif n >= 12 and pairs < 0.5 or 1 <= n <= 4 and times >= 3 and not closed:
+        elif n >= 20 and stuffed >= STUFFED or n >= 12 and pairs < 0.5 or 1 <= n <= 4 and times >= 3 and not closed:
             sure = MENU
         elif n >= 6 and urls == hashes == 0 and marks < 0.2 and closed and cased and capitals < 0.5 and any(len(w) <= 3 and w.isalpha() and w.islower() for w in spelled):
             sure = PROSE
