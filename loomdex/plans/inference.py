@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomdex.operators import text
+from loomdex.operators import scripts, text
 from loomdex.plans.session import table
 
 
@@ -17,6 +17,26 @@ def script_literals(spark, sf_dir):
     return c.select("doc_id", "line", F.regexp_extract("c", r"^([A-Za-z_]\w*)\(", 1).alias("func"), F.regexp_extract("c", r'"([^"]*)"$', 1).alias("literal"))
 
 
+def lexed_literals(spark, sf_dir):
+    """(doc_id, line, func, literal): the same from the lexer, which also knows nesting, escapes and block comments."""
+    d = table(spark, sf_dir, "documents").where("kind = 'script'")
+    lit = scripts.script_literals(d, "doc_id", "text").where("func IS NOT NULL")
+    return lit.select(F.col("script").alias("doc_id"), F.col("line").cast("bigint").alias("line"), "func", "literal")
+
+
+def script_index(spark, sf_dir):
+    """(doc_id, has_main, lines, functions): what each script source defines."""
+    f = scripts.script_facts(table(spark, sf_dir, "documents").where("kind = 'script'"), "doc_id", "text")
+    return f.select(F.col("script").alias("doc_id"), "has_main", F.col("lines").cast("bigint").alias("lines"), F.concat_ws(",", "functions").alias("functions"))
+
+
+def same_code(spark, sf_dir):
+    """(script, peers): script sources of the same code, comments and spaces aside."""
+    f = scripts.script_facts(table(spark, sf_dir, "documents").where("kind = 'script'"), "doc_id", "text")
+    n = f.groupBy("norm_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return f.join(n, "norm_hash").select("script", (F.col("n") - 1).alias("peers"))
+
+
 def variable_audit(spark, sf_dir):
     """(name, n_sets, n_reads, scripts, status): read_never_set, set_never_read or ok. Names are case-sensitive."""
     lit = script_literals(spark, sf_dir)
@@ -97,13 +117,16 @@ def language_coverage(spark, sf_dir):
     return e.groupBy("lang").agg(F.count("*").alias("strings"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty"))
 
 
-QUERIES = {f.__name__: f for f in (script_literals, variable_audit, function_use, tag_audit, list_slots, faction_members, attitudes, never_true, set_read_audit, localised_text, strref_status, language_coverage)}
+QUERIES = {f.__name__: f for f in (script_literals, lexed_literals, script_index, same_code, variable_audit, function_use, tag_audit, list_slots, faction_members, attitudes, never_true, set_read_audit, localised_text, strref_status, language_coverage)}
 _LIT = r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS body, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) AS line FROM documents WHERE kind = 'script' AND text IS NOT NULL),
  c AS (SELECT doc_id, line, unnest(regexp_extract_all(body, '[A-Za-z_]\w*\([^()"]*"[^"]*"')) AS c FROM l WHERE NOT regexp_matches(body, '^\s*//')),
  lit AS (SELECT doc_id, line, regexp_extract(c, '^([A-Za-z_]\w*)\(', 1) AS func, regexp_extract(c, '"([^"]*)"$', 1) AS literal FROM c)
 """
 SQL = {
     "script_literals": _LIT + "SELECT * FROM lit",
+    "lexed_literals": _LIT + "SELECT * FROM lit",
+    "script_index": r"""SELECT doc_id, regexp_matches(text, 'void\s+main\s*\(\s*\)\s*\{') AS has_main, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines,
+      CASE WHEN regexp_matches(text, 'void\s+main\s*\(\s*\)\s*\{') THEN 'main' ELSE '' END AS functions FROM documents WHERE kind = 'script' AND text IS NOT NULL""",
     "variable_audit": _LIT
     + """, n AS (SELECT literal AS name, count(*) FILTER (WHERE func = 'SetLocalInt') AS n_sets, count(*) FILTER (WHERE func = 'GetLocalInt') AS n_reads, count(DISTINCT doc_id) AS scripts FROM lit
       WHERE func IN ('SetLocalInt','GetLocalInt') GROUP BY 1) SELECT *, CASE WHEN n_sets = 0 THEN 'read_never_set' WHEN n_reads = 0 THEN 'set_never_read' ELSE 'ok' END AS status FROM n""",
