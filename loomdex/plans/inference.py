@@ -127,6 +127,8 @@ SQL = {
     "lexed_literals": _LIT + "SELECT * FROM lit",
     "script_index": r"""SELECT doc_id, regexp_matches(text, 'void\s+main\s*\(\s*\)\s*\{') AS has_main, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines,
       CASE WHEN regexp_matches(text, 'void\s+main\s*\(\s*\)\s*\{') THEN 'main' ELSE '' END AS functions FROM documents WHERE kind = 'script' AND text IS NOT NULL""",
+    "same_code": r"""WITH c AS (SELECT doc_id AS script, regexp_replace(regexp_replace(text, '//[^\n]*', '', 'g'), '\s+', '', 'g') AS code FROM documents WHERE kind = 'script' AND text IS NOT NULL)
+      SELECT script, count(*) OVER (PARTITION BY code) - 1 AS peers FROM c QUALIFY peers > 0""",
     "variable_audit": _LIT
     + """, n AS (SELECT literal AS name, count(*) FILTER (WHERE func = 'SetLocalInt') AS n_sets, count(*) FILTER (WHERE func = 'GetLocalInt') AS n_reads, count(DISTINCT doc_id) AS scripts FROM lit
       WHERE func IN ('SetLocalInt','GetLocalInt') GROUP BY 1) SELECT *, CASE WHEN n_sets = 0 THEN 'read_never_set' WHEN n_reads = 0 THEN 'set_never_read' ELSE 'ok' END AS status FROM n""",

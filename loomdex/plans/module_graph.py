@@ -185,6 +185,12 @@ SQL = {
       SELECT n.node AS start, CASE WHEN coalesce(total, 0) = 0 THEN 'None' WHEN areas >= 10 OR scripts >= 25 THEN 'Critical' WHEN areas >= 3 OR scripts >= 8 THEN 'High'
         WHEN areas >= 1 OR total >= 3 THEN 'Medium' ELSE 'Low' END AS level, coalesce(total, 0) AS total, coalesce(areas, 0) AS areas, coalesce(scripts, 0) AS scripts, CAST(0 AS BIGINT) AS quests, CAST(0 AS BIGINT) AS placed
       FROM nodes n LEFT JOIN a ON a.start = n.node""",
+    "graph_components": _R
+    + """, b AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+      r(node, other) AS (SELECT src, dst FROM b UNION SELECT node, dst FROM r JOIN b ON src = other) SELECT node, least(node, min(other)) AS root FROM r GROUP BY node""",
+    "cycles": _R
+    + """, r(node, other) AS (SELECT src, dst FROM edges UNION SELECT node, dst FROM r JOIN edges ON src = other)
+      SELECT x.node, least(x.node, min(x.other)) AS component FROM r x JOIN r y ON x.node = y.other AND x.other = y.node GROUP BY x.node""",
     "chain_depth": _R
     + """, d AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), n(node, depth) AS (SELECT dst, 0 FROM d UNION SELECT src, depth + 1 FROM n JOIN d ON dst = node WHERE depth < 64)
       SELECT node, max(depth) AS depth FROM (SELECT * FROM n UNION ALL SELECT src, 0 FROM d) GROUP BY node""",

@@ -27,4 +27,27 @@ o AS (SELECT DISTINCT file_id, path, ext, CASE WHEN n = 0 THEN 'missing' WHEN li
 P5_FOUND = _ORPHANS + "SELECT file_id, path, state, period FROM o WHERE state IS NOT NULL"
 P5_REPORT = _ORPHANS + "SELECT ext, period, state, count(*) AS n FROM o WHERE state IS NOT NULL GROUP BY 1, 2, 3"
 
-PROBLEM_SQL = {"p1_found": P1, "p3_found": P3, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+_BODIES = r"""
+WITH RECURSIVE raw AS (SELECT DISTINCT file_id, trim(regexp_replace(trim(body, ' \t\n\r'), '^' || chr(65279), ''), ' \t\n\r' || chr(10) || chr(13) || chr(9)) AS b FROM gff_raw WHERE body IS NOT NULL),
+whole AS (SELECT file_id, CAST(b AS JSON) AS j FROM raw WHERE CASE WHEN json_valid(b) THEN json_type(b) = 'OBJECT' ELSE false END),
+s(file_id, path, parent_path, node) AS (
+ SELECT file_id, '', CAST(NULL AS VARCHAR), j FROM whole
+ UNION ALL
+ SELECT file_id, CASE WHEN path = '' THEN '' ELSE path || '/' END || k || CASE WHEN t = 'list' THEN '[' || (i - 1) || ']' ELSE '' END, path, x FROM (
+  SELECT file_id, path, k, t, unnest(items) AS x, generate_subscripts(items, 1) AS i FROM (
+   SELECT s.file_id, s.path, e.key AS k, json_extract_string(e.value, '$.type') AS t,
+    CASE WHEN json_type(e.value, '$.value') = 'ARRAY' AND json_extract_string(e.value, '$.type') = 'list' THEN CAST(json_extract(e.value, '$.value') AS JSON[])
+         WHEN json_type(e.value, '$.value') = 'OBJECT' THEN [json_extract(e.value, '$.value')] ELSE [] END AS items
+   FROM s, json_each(node) e WHERE NOT starts_with(e.key, '__') AND json_extract_string(e.value, '$.type') IN ('struct', 'list')))
+ WHERE json_type(x) = 'OBJECT')
+"""
+P4_FOUND = _BODIES + "SELECT DISTINCT file_id, path, parent_path FROM s WHERE parent_path IS NOT NULL"
+P4_FIELDS = _BODIES + r"""
+SELECT DISTINCT s.file_id, CASE WHEN s.path = '' THEN '' ELSE s.path || '/' END || e.key AS path, s.path AS parent_path, e.key AS label, json_extract_string(e.value, '$.type') AS type,
+ CASE WHEN json_type(e.value, '$.value') = 'OBJECT' THEN '{' || list_aggregate(list_transform(list_sort(json_keys(e.value, '$.value')), lambda k: to_json(k) || ': ' || CAST(json_extract(e.value, '$.value."' || k || '"') AS VARCHAR)), 'string_agg', ', ') || '}'
+      ELSE json_extract_string(e.value, '$.value') END AS value
+FROM s, json_each(node) e WHERE NOT starts_with(e.key, '__') AND json_extract_string(e.value, '$.type') NOT IN ('struct', 'list')
+"""
+P4_REJECTED = _BODIES + "SELECT DISTINCT file_id, CASE WHEN b = '' THEN 'empty' WHEN json_valid(b) THEN 'not_object' ELSE 'not_json' END AS why FROM raw WHERE NOT CASE WHEN json_valid(b) THEN json_type(b) = 'OBJECT' ELSE false END"
+
+PROBLEM_SQL = {"p4_found": P4_FOUND, "p4_fields": P4_FIELDS, "p4_rejected": P4_REJECTED, "p1_found": P1, "p3_found": P3, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
