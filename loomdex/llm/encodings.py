@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.plans.session import spread
+
 #: The encodings that are taken for one another.
 SINGLE_BYTE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "mac_roman", "iso8859-2", "koi8-r", "iso8859-15", "cp1254", "mac_cyrillic", "iso8859-5")
 #: Pairs kept in the model, the most frequent of the corpus (counted over all of it); any other pair counts as unseen.
@@ -294,7 +296,7 @@ def garbled(texts: DataFrame, column: str, model: PairModel) -> DataFrame:
             kept = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(restored, pa.string()), pa.array(mapping, pa.string())], [*batch.schema.names, "restored", "mapping"])
 
-    return texts.where(F.col(column).rlike(r"[^\x00-\x7F]")).mapInArrow(judge, schema)
+    return spread(texts.where(F.col(column).rlike(r"[^\x00-\x7F]"))).mapInArrow(judge, schema)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
