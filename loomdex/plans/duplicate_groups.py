@@ -14,6 +14,8 @@ COSMETIC = (
     "TemplateResRef", "Tag", "LocalizedName", "Description", "DescIdentified", "Comment", "PaletteID", "ModelPart1", "ModelPart2", "ModelPart3",
     "Cloth1Color", "Cloth2Color", "Leather1Color", "Leather2Color", "Metal1Color", "Metal2Color", "Identified", "Stolen",
 )
+#: Groups that the report of asset duplicates lists, those that waste most first.
+MOST_GROUPS = 3000
 _COSMETIC_SQL = "(" + ", ".join(f"'{x}'" for x in COSMETIC) + ")"
 
 
@@ -55,12 +57,14 @@ def dup_normalised_text(spark, sf_dir):
 
 
 def asset_duplicates(spark, sf_dir):
-    """(ext, sha, members, extra_bytes, place): byte-identical models and textures; a name in two sources is one member."""
+    """(ext, sha, members, extra_bytes, place): the most wasteful groups of byte-identical models and textures; a name in two
+    sources is one member."""
     f = _present(spark, sf_dir).where("ext IN ('tga', 'mdl') AND sha256 IS NOT NULL")
     names = f.groupBy("ext", F.lower("sha256").alias("sha"), "resref").agg(F.max("size").alias("size"))
     g = names.groupBy("ext", "sha").agg(F.count("*").alias("members"), F.max("size").alias("size")).where("members > 1")
     g = g.withColumn("extra_bytes", F.coalesce("size", F.lit(0)) * (F.col("members") - 1))
-    rows = g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("extra_bytes"), "ext", "sha")))  # one row per group: small
+    top = g.orderBy(F.desc("extra_bytes"), "ext", "sha").limit(MOST_GROUPS)  # the report's length; only these are numbered in one task
+    rows = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("extra_bytes"), "ext", "sha")))
     return rows.select("ext", "sha", "members", "extra_bytes", F.col("place").cast("bigint").alias("place"))
 
 
@@ -126,7 +130,7 @@ SQL = {
     "dup_normalised_text": "WITH m AS (SELECT DISTINCT md5(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g'), ' ')) AS digest, doc_id FROM documents WHERE text IS NOT NULL) SELECT *, count(*) OVER (PARTITION BY digest) AS n FROM m QUALIFY n > 1",
     "asset_duplicates": f"""WITH {_P}, n AS (SELECT ext, lower(sha256) AS sha, resref, max(size) AS size FROM p WHERE ext IN ('tga','mdl') AND sha256 IS NOT NULL GROUP BY 1, 2, 3),
       g AS (SELECT ext, sha, count(*) AS members, CAST(coalesce(max(size), 0) * (count(*) - 1) AS BIGINT) AS extra_bytes FROM n GROUP BY 1, 2 HAVING count(*) > 1)
-      SELECT *, row_number() OVER (ORDER BY extra_bytes DESC, ext, sha) AS place FROM g""",
+      SELECT *, row_number() OVER (ORDER BY extra_bytes DESC, ext, sha) AS place FROM g QUALIFY place <= 3000""",
     "dup_keeper": f"""WITH {_P}, r AS (SELECT lower(trim(value)) AS resref, count(*) AS refs FROM gff_fields WHERE type = 'resref' AND value <> '' GROUP BY 1),
       f AS (SELECT DISTINCT p.id, p.ext, p.resref, lower(content_hash) AS content, {_RANK} AS rank FROM p JOIN sources s ON s.id = source_id WHERE content_hash IS NOT NULL),
       j AS (SELECT f.*, coalesce(refs, 0) AS refs FROM f LEFT JOIN r USING (resref))

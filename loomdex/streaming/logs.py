@@ -6,12 +6,15 @@ resource or plugin named, and the message without numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.operators.text import mask
 
-MAX_LINE, MAX_TAGS, MAX_SOURCES = 2048, 10, 10
+MAX_LINE, MAX_TAGS = 2048, 10
 #: Prefixes of a line (bracketed time; engine level, time and origin) and lines that are talk, not events.
 STAMP = r"^\[(?<ts>[^\]]*\d{1,2}:\d{2}:\d{2}[^\]]*)\]\s*"
 ENGINE = r"^[A-Z] \[(\d{2}:\d{2}:\d{2})\] (?:\w+ )?\(([^)]*)\):? ?"
@@ -62,23 +65,52 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     return d.withColumn("severity", F.when(F.col("kind").isin(*ERRORS), "error").otherwise("warning")).drop("__body", "__which")
 
 
-def group(parsed: DataFrame, order: Column, source: str | None = None) -> DataFrame:
-    """(kind, subject, signature, severity, count, first_seen, last_seen, example, tags[, sources]): one row per group.
+KEY = ("kind", "subject", "signature", "severity")
+
+
+def keyed(parsed: DataFrame) -> DataFrame:
+    """Parsed lines with the signature of their group; missing tables of one name are one group."""
+    return parsed.withColumn("signature", F.when(F.col("subject").endswith(".2da"), F.lit("")).otherwise(mask(F.col("message"))))
 
-    ``order`` tells the lines' order of arrival. Up to MAX_TAGS tags and MAX_SOURCES sources, least first, are listed. Works
-    on batches and, in complete or update mode, on streams.
+
+def group(parsed: DataFrame, order: str) -> DataFrame:
+    """(kind, subject, signature, severity, count, first_seen, last_seen, example, tags): one row per group of a batch.
+
+    ``order`` is the column that tells the lines' order of arrival. Up to MAX_TAGS tags are listed, the first to come first:
+    tags are made distinct and limited before they are gathered, so that no list grows with the lines.
     """
-    sig = F.when(F.col("subject").endswith(".2da"), F.lit("")).otherwise(mask(F.col("message")))
-    aggregates = [
-        F.count("*").alias("count"), F.min_by("ts", order).alias("first_seen"), F.max_by("ts", order).alias("last_seen"), F.min_by("message", order).alias("example"),
-        F.slice(F.array_sort(F.collect_set("tag")), 1, MAX_TAGS).alias("tags"),
-    ]
-    if source:
-        aggregates.append(F.slice(F.array_sort(F.collect_set(source)), 1, MAX_SOURCES).alias("sources"))
-    return parsed.groupBy("kind", "subject", sig.alias("signature"), "severity").agg(*aggregates)
+    k = keyed(parsed)
+    sums = k.groupBy(*KEY).agg(F.count("*").alias("count"), F.min_by("ts", order).alias("first_seen"), F.max_by("ts", order).alias("last_seen"), F.min_by("message", order).alias("example"))
+    tags = k.where("tag IS NOT NULL").groupBy(*KEY, "tag").agg(F.min(order).alias("at"))
+    tags = tags.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("at", "tag"))).where(F.col("place") <= MAX_TAGS)
+    lists = tags.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tag"))), lambda x: x["tag"]).alias("tags"))
+    return sums.join(lists, list(KEY), "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+GROUPS = "kind string, subject string, signature string, severity string, count bigint, first_seen string, last_seen string, example string, tags array<string>"
+_STATE = "count bigint, first_seen string, last_seen string, example string, tags array<string>"
+
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    count, first, last, example, tags = state.get if state.exists else (0, None, None, None, [])
+    tags = list(tags)
+    for f in frames:
+        f = f.sort_values("seq", kind="stable") if "seq" in f else f
+        for ts, message, tag in zip(f["ts"], f["message"], f["tag"], strict=True):
+            if not count:
+                first, example = ts, message
+            count += 1
+            last = ts if ts is not None else last
+            if tag is not None and tag not in tags and len(tags) < MAX_TAGS:
+                tags.append(tag)
+    state.update((count, first, last, example, tags))
+    yield pd.DataFrame([(*key, count, first, last, example, tags)], columns=[*KEY, "count", "first_seen", "last_seen", "example", "tags"])
 
 
 def group_stream(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The streaming twin: lines as they arrive (read with file names and times), grouped; write in complete mode."""
-    parsed = parse(lines.withColumn("__at", F.struct(F.current_timestamp().alias("t"))), column)
-    return group(parsed, F.col("__at"))
+    """The streaming twin, in update mode: a group is given out anew whenever lines join it.
+
+    State per group is a count, two times, an example and at most MAX_TAGS tags; it doesn't grow with the lines. A column ``seq``,
+    if there, orders the lines of a batch.
+    """
+    return keyed(parse(lines, column)).groupBy(*KEY).applyInPandasWithState(_advance, GROUPS, _STATE, "update", "NoTimeout")

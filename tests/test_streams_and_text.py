@@ -24,13 +24,36 @@ LINES = [
 
 def test_log_groups(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "seq int, value string")
-    g = {(r["kind"], r["subject"], r["signature"]): r for r in logs.group(logs.parse(df), F.col("seq")).collect()}
+    g = {(r["kind"], r["subject"], r["signature"]): r for r in logs.group(logs.parse(df), "seq").collect()}
     assert set(g) == {("script_error", "ms_onmodload", "ERROR: IP OUT OF CODE SEGMENT"), ("script_stopped", "ms_onmodload", "-#"), ("missing_resource", "gosslulncomm.2da", ""), ("warning", "", "Warning: # players")}
     e = g["script_error", "ms_onmodload", "ERROR: IP OUT OF CODE SEGMENT"]
     assert (e["count"], e["first_seen"], e["last_seen"], e["tags"], e["severity"]) == (2, "00:40:16", "00:41:16", ["chest"], "error")
     assert g["warning", "", "Warning: # players"]["severity"] == "warning"
 
 
+def test_log_groups_as_a_stream(spark, tmp_path):
+    register(spark)
+    lines = [x for x in LINES if x] + [f"Script error: many OID: 1, Tag: t{i % 14}, ERROR: BAD {i}" for i in range(60)]
+    log = tmp_path / "a.log"
+    latest = {}
+
+    def keep(batch, _):
+        latest.update({(r["kind"], r["subject"], r["signature"]): (r["count"], r["first_seen"], r["last_seen"], r["example"], sorted(r["tags"])) for r in batch.collect()})
+
+    for part in (lines[:30], lines[30:]):
+        with log.open("a") as f:
+            f.write("\n".join(part) + "\n")
+        s = spark.readStream.format("tail").option("path", str(log)).load()
+        q = logs.group_stream(s).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    batch = logs.group(logs.parse(spark.createDataFrame(list(enumerate(lines)), "seq int, value string")), "seq")
+    want = {(r["kind"], r["subject"], r["signature"]): (r["count"], r["first_seen"], r["last_seen"], r["example"], sorted(r["tags"])) for r in batch.collect()}
+    assert set(latest) == set(want) and {k: v[0] for k, v in latest.items()} == {k: v[0] for k, v in want.items()}
+    many = latest["script_error", "many", "ERROR: BAD #"]
+    assert many[0] == 60 and len(many[4]) == 10 and set(many[4]) <= {f"t{i}" for i in range(14)}
+
+
 def test_tail_reads_exactly_the_new_lines(spark, tmp_path):
     register(spark)
     log, out = tmp_path / "a.log", tmp_path / "out"
