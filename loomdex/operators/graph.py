@@ -205,3 +205,17 @@ def spread_status(status: DataFrame, edges: DataFrame, from_status: str, over: s
     seen = fixpoint(s.where(F.col("status") == from_status).select("node"), step, ["node"]) if from_status == to_status else step(s.where(F.col("status") == from_status).select("node"))
     hit = seen.select("node", F.lit(True).alias("hit"))
     return s.join(hit, "node", "left").select("node", F.when(F.col("hit") & (F.col("status") == over), to_status).otherwise(F.col("status")).alias("status"))
+
+
+def layout(links: DataFrame) -> DataFrame:
+    """(node, root, x, y): places of linked nodes relative to the least node of their component, along fewest links; of several ways
+    the least place counts. ``links``: src, dst, dx, dy (where dst lies from src); they hold in both directions."""
+    both = cut(links.select("src", "dst", "dx", "dy").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"))).distinct())
+    from loomdex.operators.components import components
+
+    start = components(both, "src", "dst").where("node = root").select("node", "root", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        return frontier.join(both, frontier["node"] == both["src"]).select(both["dst"].alias("node"), "root", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+
+    return fixpoint(start, step, ["node"])

@@ -110,3 +110,22 @@ def include_load(declared: DataFrame, includes: DataFrame) -> DataFrame:
     own = declared.select("script", F.col("script").alias("part"))
     n = declared.select(F.col("script").alias("part"), "n")
     return own.unionByName(pairs).distinct().join(n, "part").groupBy("script").agg(F.sum("n").alias("load"))
+
+
+#: What kind of thing the text argument of an engine function names, by function and place.
+NAMED_BY = {
+    ("ExecuteScript", 0): "script", ("SetEventScript", 2): "script", ("CreateItemOnObject", 0): "item", ("CreateObject", 1): "blueprint", ("GetObjectByTag", 0): "tag",
+    ("GetWaypointByTag", 0): "tag", ("GetNearestObjectByTag", 0): "tag", ("GetItemPossessedBy", 1): "tag", ("ActionStartConversation", 1): "conversation",
+    ("AddJournalQuestEntry", 0): "quest", ("SetLocalInt", 1): "variable", ("GetLocalInt", 1): "variable", ("SetLocalString", 1): "variable",
+    ("GetLocalString", 1): "variable", ("Get2DAString", 0): "table",
+}
+
+
+def typed_literals(literals: DataFrame, names: DataFrame) -> DataFrame:
+    """``literals`` with ``kind`` and ``certain``: by the function they are passed to, else by a known name (kind, name) that they
+    equal, letter case aside; of several kinds the least. Others are left out."""
+    table = F.create_map(*[x for (f, n), k in NAMED_BY.items() for x in (F.lit(f"{f}/{n}"), F.lit(k))])
+    known = names.groupBy(F.lower("name").alias("__name")).agg(F.min("kind").alias("__kind"))
+    typed = literals.withColumn("__typed", F.try_element_at(table, F.concat_ws("/", "func", F.col("place").cast("string"))))
+    j = typed.join(known, F.lower("literal") == F.col("__name"), "left")
+    return j.withColumn("kind", F.coalesce("__typed", "__kind")).withColumn("certain", F.col("__typed").isNotNull()).where("kind IS NOT NULL").drop("__typed", "__name", "__kind")

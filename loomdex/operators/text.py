@@ -56,3 +56,29 @@ def name_sets(names: DataFrame, name: str, least: int = 2, most: int = 60) -> Da
     good = p.groupBy("prefix").agg(F.count("*").alias("k")).where((F.col("k") >= least) & (F.col("k") <= most)).select("prefix")
     best = p.join(good, "prefix").groupBy("name").agg(F.min_by("prefix", F.length("prefix")).alias("family"))
     return n.join(best, "name", "left")
+
+
+def suffix_link(names: DataFrame, name: str, suffixes: DataFrame, suffix: str, least: int = 3) -> DataFrame:
+    """(name, suffix): names that end with one of ``suffixes``; the names' ends are filed, so that it is an equi-join."""
+    n = names.select(F.lower(name).alias("name")).where(F.length("name") >= least).distinct()
+    ends = n.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - least + 1), lambda i: F.substr(F.col("name"), i))).alias("suffix"))
+    return ends.join(suffixes.select(F.lower(suffix).alias("suffix")).distinct(), "suffix", "left_semi").select("name", "suffix")
+
+
+def line_diff(pairs: DataFrame, id_col: str, before: str, after: str) -> DataFrame:
+    """(id, place, sign, line): lines taken out (-) and put in (+) between two texts of a row, in order; equal texts give none."""
+    import difflib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                diff = difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), lineterm="", n=0)
+                changed = [d for d in diff if d[:1] in "+-" and d[:3] not in ("+++", "---")]
+                out += [(i, k, d[0], d[1:]) for k, d in enumerate(changed)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["id", "place", "sign", "line"])
+
+    rows = pairs.where(~F.col(before).eqNullSafe(F.col(after))).select(F.col(id_col).cast("bigint"), F.col(before), F.col(after))
+    return rows.mapInArrow(run, "id bigint, place int, sign string, line string")

@@ -201,3 +201,18 @@ def register(spark: SparkSession) -> None:
 
     spark.dataSource.register(SqliteSource)
     spark.dataSource.register(TailSource)
+
+
+def read_bytecode(spark: SparkSession, path: str, glob: str = "*.ncs") -> DataFrame:
+    """(path, intact, numbers, texts, error): constants of compiled scripts."""
+    kinds = [("intact", pa.bool_(), "boolean"), ("numbers", pa.list_(pa.int64()), "array<bigint>"), ("texts", pa.list_(pa.string()), "array<string>")]
+    return _parsed(files(spark, path, glob), lambda p, b: [formats.bytecode(b)], kinds)
+
+
+def stale_bytecode(compiled: DataFrame, literals: DataFrame) -> DataFrame:
+    """(script, missing): texts of a source that its compiled form lacks. ``compiled``: script, texts; ``literals``: script, literal."""
+    want = literals.where(F.length("literal") > 2).select("script", "literal").distinct()
+    have = compiled.select("script", F.explode("texts").alias("literal")).distinct()
+    known = compiled.select("script").distinct()
+    lack = want.join(known, "script", "left_semi").join(have, ["script", "literal"], "left_anti")
+    return lack.groupBy("script").agg(F.count("*").alias("missing"))
