@@ -28,10 +28,10 @@ def month_code(at):
     return F.coalesce(F.year(at) * 12 + F.month(at) - 1, F.lit(NO_TIME))
 
 
-def encode_keys(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Dense integers per partition for the sorted, distinct keys; written once, so that they never change."""
-    ordered = keys.repartitionByRange(*by).sortWithinPartitions(*by)
-    return cut(ordered.withColumn("id", F.monotonically_increasing_id()))
+def encode_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` with ``id``, an integer, dense within each partition; written once, so that it never changes. No order is needed,
+    and none is made: sorting by range would read the references twice, once to sample them."""
+    return cut(keys.withColumn("id", F.monotonically_increasing_id()))
 
 
 def surviving_keys(keys: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time:
     refs = refs.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).withColumn("__month", month_code(F.col(time)))
     used = refs.groupBy(*key, "__month").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.collect_list("__month").alias("periods"))
     since = F.when(F.col("always"), F.lit(ALWAYS)).when(F.col("alive"), month_code(F.col("first")))
-    keys = encode_keys(used.join(known, key, "left").withColumn("since", since), key)
+    keys = encode_keys(used.join(known, key, "left").withColumn("since", since))
     rest = surviving_keys(keys).join(keys.select("id", *key, "alive", "always", "first"), "id").drop("id")
     # a few keys may hold most of the references: those are spread, the keys copied
     rest = rest.withColumnRenamed("period", "__month").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
