@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ VOCABULARY = 50_000
 #: Rounds of Viterbi training after the first counts.
 ROUNDS = 1
 
+#: Marks of a line's form.
+MARKS = 11
 #: A line is keywords if so much of it is phrases repeated out of context.
 STUFFED = 0.36
 #: Weight (nats) of a form that leaves no doubt.
@@ -44,9 +48,9 @@ _HASH = re.compile(r"(?:^|\s)#[^\s#]+")
 _LABEL = re.compile(r"^\W*(?:tags?|labels?|keywords?|key ?words|topics?|categor(?:y|ies)|stichw(?:o|ö)rter|schlagw(?:o|ö)rter|mots[- ]cl(?:é|e)s|etiquetas|palabras clave|etichette|parole chiave|tagi|słowa kluczowe|теги|метки)\s*[:–—-]", re.I)
 _LIST_MARK = re.compile(r"[;,|/•·*»>–—]|(?<=\s)-(?=\s)")
 _GOODS = re.compile(r"\b[A-Z]{2,5}-\d{3,}\b")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?://(?:\s|$|[^\s./]+(?:\s|$))|/\*|\*/|#include|\}|\{|void\b|int\b|if\s*\(|else\b|for\s*\(|return\b|object\b|string\b|float\b)")
+_CODE = re.compile(r"(?://(?:\s|$|[^\s./]+(?:\s|$))|/\*|\*/|#include|\}|\{|void\b|int\b|if\s*\(|else\b|for\s*\(|return\b|object\b|string\b|float\b)")
 _SENTENCE = re.compile(r"(?<=[.!?\u2026])\s+")
-_CLOSE = re.compile(r"[.!?…:][\"'”’»)\]*_]*\s*$")
+_AFTER_CLOSE = "\"'”’»)]*_ \t"
 
 
 def split_lines(text: str) -> list[str]:
@@ -60,20 +64,20 @@ def split_lines(text: str) -> list[str]:
 
 
 def _bin(x: float, *bounds: float) -> int:
-    return sum(x >= b for b in bounds)
+    return bisect_right(bounds, x)
 
 
-def _stuffed(words: list[str], often: dict[tuple[str, str], int]) -> float:
+def _stuffed(pairs: list[tuple[str, str]], often: set[tuple[str, str]]) -> float:
     """Share of a line's words that are phrases of two words which the document repeats, but never as part of a longer run:
     a keyword put into ever other contexts, where a refrain repeats whole sentences."""
     hits, run = 0, 0
-    for p in zip(words, words[1:], strict=False):
-        if often.get(p, 0) >= 3:
+    for p in pairs:
+        if p in often:
             run += 1
         else:
             hits += run == 1
             run = 0
-    return 2 * (hits + (run == 1)) / len(words)
+    return 2 * (hits + (run == 1)) / (len(pairs) + 1)
 
 
 def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | None]]:
@@ -83,30 +87,32 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
     said = [(x, body, sum(m.end() - m.start() for m in _URL.finditer(body)) / len(body) if dotted else 0.0) for x, body, dotted in said]
     said = [(x, body, urls, plain := _URL.sub(" ", body) if urls else body, _WORD.findall(plain)) for x, body, urls in said]
     lowered = [[w.lower() for w in x[4]] for x in said]
-    often = Counter(p for words in lowered for p in zip(words, words[1:], strict=False))
+    paired = [list(zip(words, words[1:], strict=False)) for words in lowered]
+    often = {p for p, n in Counter(chain.from_iterable(paired)).items() if n >= 3}
     before: set[str] = set()
     out = []
-    for (line, body, urls, plain, spelled), words in zip(said, lowered, strict=True):
+    for (_, body, urls, plain, spelled), words, pairs_ in zip(said, lowered, paired, strict=True):
         n = len(words)
-        capitals = sum(w[0].isupper() for w in spelled) / max(n, 1)
+        capitals = sum([w[0].isupper() for w in spelled]) / max(n, 1)
         hashes = len(_HASH.findall(plain)) / max(n, 1) if "#" in plain else 0.0
         marks = len(_LIST_MARK.findall(plain)) / max(n, 1)
-        code = bool(_CODE.search(body))
+        code = body[-1] in ";{}" or _CODE.match(body) is not None
         first = next((c for c in body if c.isalpha()), "a")
-        closed, cased = bool(_CLOSE.search(body)), first.isupper() and not plain.isupper()
+        closed, cased = body.rstrip(_AFTER_CLOSE)[-1:] in (".", "!", "?", "…", ":"), first.isupper() and not plain.isupper()
         close = 4 if code else 2 * closed + cased
         # words shared with the line before
         own = set(words)
         same = len(own & before) / len(own | before) if n > 3 and before else 0.0
         before = own
         # repetition of word pairs within the line (a refrain's sentences count once), and of the line within the document
-        once = words
+        once = pairs_
         if n > 12 and len(parts := _SENTENCE.split(plain)) > len(set(parts)):
-            once = _WORD.findall(" ".join(dict.fromkeys(parts)).lower())
-        pairs = len(set(zip(once, once[1:], strict=False))) / (len(once) - 1) if len(once) > 3 else 1.0
+            w = _WORD.findall(" ".join(dict.fromkeys(parts)).lower())
+            once = list(zip(w, w[1:], strict=False))
+        pairs = len(set(once)) / len(once) if len(once) > 2 else 1.0
         times = bodies[body.lower()]
         label, goods = bool(_LABEL.match(body)), "-" in body and bool(_GOODS.search(body))
-        stuffed = _stuffed(words, often) if n >= 5 else 0.0
+        stuffed = _stuffed(pairs_, often) if n >= 5 and often else 0.0
         form = (_bin(urls, 0.01, 0.4), _bin(hashes, 0.01, 0.5), _bin(marks, 0.01, 0.2, 0.4), close, _bin(n, 2, 4, 8, 20), _bin(pairs, 0.5, 0.8), _bin(times, 2, 4), 2 * goods + label, _bin(capitals, 0.01, 0.3, 0.6), _bin(same, 0.25, 0.6, 1.0), _bin(stuffed, 0.12, 0.24, STUFFED))
         sure = None
         if code:
@@ -153,13 +159,16 @@ class Model:
         self.words = np.vstack([said - said.mean(1, keepdims=True), np.zeros(k)])
         self.word_at = {w: i for i, w in enumerate(known)}
         self.marks = np.vstack([np.log((np.array(list(marks.values())).reshape(-1, k) + 0.5) / (lines + 2)), np.log(0.5 / (lines + 2))])
-        self.mark_at = {m: i for i, m in enumerate(marks)}
+        self.places: list[dict[int, int]] = [{} for _ in range(MARKS)]  # row of a mark, by its place in the form and its value
+        for i, m in enumerate(marks):
+            place, _, value = m.partition("=")
+            self.places[int(place)][int(value)] = i
         self.first = np.log(self.first / self.first.sum()).tolist()
         self.step = np.log(self.step / self.step.sum(1, keepdims=True)).T.tolist()
 
     def emissions(self, described: list) -> list[list[float]]:
         """Log-probability of each line in each state: its marks, and up to twelve words' worth of its words."""
-        at = np.array([[self.mark_at.get(f"{i}={x}", -1) for i, x in enumerate(form)] for form, _, _ in described])
+        at = np.array([[t.get(x, -1) for t, x in zip(self.places, form, strict=True)] for form, _, _ in described])
         out = self.marks[at].sum(1)
         for i, (_, _, sure) in enumerate(described):
             if sure:  # a form that leaves no doubt that it isn't prose
@@ -167,9 +176,9 @@ class Model:
         said = [[i for w in words if (i := self.word_at.get(w)) is not None] for _, words, _ in described]
         sizes = np.array([len(x) for x in said])
         if sizes.any():
-            rows = np.repeat(np.arange(len(said)), sizes)
-            sums = np.zeros_like(out)
-            np.add.at(sums, rows, self.words[np.fromiter((i for x in said for i in x), np.int64)])
+            running = np.vstack([np.zeros(len(STATES)), self.words[np.fromiter(chain.from_iterable(said), np.int64)].cumsum(0)])
+            ends = sizes.cumsum()
+            sums = running[ends] - running[ends - sizes]
             out += sums * (np.minimum(sizes, 12) / np.maximum(sizes, 1))[:, None]
         return out.tolist()
 
