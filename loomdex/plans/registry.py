@@ -5,7 +5,7 @@ from __future__ import annotations
 from loomdex.plans import attributes, auditing, duplicate_groups, event_groups, findings, index_diff, inference, module_graph, nested, planning, references, scoring, text_search
 from loomdex.plans.problem_sql import PROBLEM_SQL
 
-FLAGSHIP = "reachable_from_roots"
+FLAGSHIP = "deletion_status"
 
 QUERIES = {
     "p1_found": index_diff.p1_found,
