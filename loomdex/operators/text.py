@@ -47,15 +47,25 @@ def rewrite(values: DataFrame, column: str, renames: DataFrame) -> DataFrame:
 
 
 def name_sets(names: DataFrame, name: str, least: int = 2, most: int = 60) -> DataFrame:
-    """(name, family): the shortest proper prefix of words (parts between _ or spaces) that ``least`` to ``most`` names share;
-    NULL without one."""
+    """(name, family): the shortest proper prefix of words that ``least`` to ``most`` names share, its words joined by _. Words are
+    in lower case, parted by _ / : . - or spaces; digits that end the last word are a word of their own. Names left over are grouped
+    by their first five letters and digits, if ``least`` to ``most`` share them, under the longest start common to all; else NULL."""
     n = names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
-    parts = F.split("name", "[_ ]+")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda i: F.concat_ws("_", F.slice(F.col("parts"), 1, i)))
-    p = n.withColumn("parts", parts).where(F.size("parts") > 1).select("name", F.explode(prefixes).alias("prefix"))
-    good = p.groupBy("prefix").agg(F.count("*").alias("k")).where((F.col("k") >= least) & (F.col("k") <= most)).select("prefix")
+    ends = F.regexp_replace(F.lower("name"), r"(?U)[_\s/:.-]+$", "")
+    parts = F.split(F.regexp_replace(ends, r"(?U)([^_\s/:.\-\d])(\d+)$", "$1_$2"), r"(?U)[_\s/:.-]+")
+    p = n.withColumn("parts", F.array_remove(parts, "")).where(F.size("parts") > 1)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.concat_ws("_", F.slice(F.col("parts"), 1, i)))
+    p = p.select("name", F.explode(prefixes).alias("prefix"))
+    good = p.groupBy("prefix").agg(F.count("*").alias("k")).where(F.col("k").between(least, most)).select("prefix")
     best = p.join(good, "prefix").groupBy("name").agg(F.min_by("prefix", F.length("prefix")).alias("family"))
-    return n.join(best, "name", "left")
+    low = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    # names without a start join by themselves, so that they don't meet in one partition
+    start = F.when(F.col("family").isNull() & (F.length("low") >= 5), F.left("low", F.lit(5))).otherwise(F.concat(F.lit("-"), "name"))
+    n = n.join(best, "name", "left").withColumn("low", low).withColumn("start", start)
+    left = n.where("start NOT LIKE '-%'").groupBy("start").agg(F.count("*").alias("k"), F.min("low").alias("a"), F.max("low").alias("z")).where(F.col("k").between(least, most))
+    common = F.array_max(F.transform(F.sequence(F.lit(5), F.length("a")), lambda i: F.when(F.left("a", i) == F.left("z", i), i)))
+    left = left.select("start", F.left("a", common).alias("common"))
+    return n.join(left, "start", "left").select("name", F.coalesce("family", "common").alias("family"))
 
 
 def suffix_link(names: DataFrame, name: str, suffixes: DataFrame, suffix: str, least: int = 3) -> DataFrame:

@@ -87,6 +87,15 @@ def test_text_operators(spark):
     assert dict(rows(text.name_sets(s, "name", 2, 2))) == {"key_red_1": "key_red", "key_red_2": "key_red", "key_blue_1": None, "lone": None}
 
 
+def test_name_sets_of_many_names_and_digits(spark):
+    many = {f"at_{'forest' if k % 2 else 'for'}{chr(97 + k // 26)}{chr(97 + k % 26)}": None for k in range(100)}  # at: too many; at_fo: too
+    some = {f"at_cave{c}x": "atcave" for c in "abc"} | {f"Q_Rats{k}": "q" for k in (1, 2)} | {"hut.one": "hut", "HUT/two": "hut", "/hut:3_": "hut"}
+    plain = {"DUKESARMY": "dukes", "DukesWizard": "dukes", "abcd": None, "abc_d": None, "rats1": "rats", "rats2": "rats", "7": None, "_": None, "": None}
+    want = many | some | plain
+    s = spark.createDataFrame([(x,) for x in want] * 2 + [(None,)], "name string")
+    assert dict(rows(text.name_sets(s, "name"))) == want
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, id int")
     assert rows(same_key(df, ["k"], "id")) == [("a", 1, 2), ("a", 2, 2)]
