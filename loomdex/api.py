@@ -59,7 +59,8 @@ class Facts:
     def impact(self, node: str) -> dict:
         start = self.spark.createDataFrame([(self._node(node),)], "node string")
         hard = cut(graph.impact(self.edges, start))
-        return {"level": graph.judge(hard, start).first().level} | self._answer(hard.select("node", "how"))
+        live = graph.reachable(self.edges, module_graph.roots(self.spark, self.dir))
+        return {"level": graph.judge(hard, start, live).first().level} | self._answer(hard.select("node", "how"))
 
     def path(self, node: str) -> dict:
         roots = module_graph.roots(self.spark, self.dir)

@@ -95,7 +95,9 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Carrier edges count any number of steps, reference edges one step from the start; ``template`` edges from placed copies
     (inst:) are how='placed' and never walked; a name_ref from a file that also holds typed links doesn't count for scripts,
-    blueprints and conversations. how is 'carrier' or 'reference', by the first step.
+    blueprints and conversations. how is 'carrier' or 'reference', by the first step. 'soft' are variables that ``start`` or an
+    affected node sets (var_set, from variable to setter), what reads them (var_read) and what runs that, where no walk leads; a
+    placed copy may be soft as well, in a second row.
     """
     back = cut(edges.where("src <> dst").select("src", "dst", "kind").distinct())
     s = starts.select(F.col("node").alias("start")).distinct()
@@ -111,20 +113,46 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
         go = frontier.where("how <> 'placed'")
         return go.join(carrier, go["node"] == carrier["dst"]).where("src <> start").select("start", carrier["src"].alias("node"), "how")
 
-    return fixpoint(seeds, step, ["start", "node"])
+    hard = fixpoint(seeds, step, ["start", "node"])
+    setters = back.where("kind = 'var_set'").select("src", "dst").distinct()
+    if setters.isEmpty():
+        return hard
+    walked = cut(hard.where("how <> 'placed'").select("start", "node").unionByName(s.select("start", F.col("start").alias("node"))))
+    passed = cut(back.where((F.col("kind") == "var_read") | F.col("kind").isin(*CARRIER_KINDS)).select("src", "dst").distinct())
 
+    def onward(frontier: DataFrame, by: DataFrame) -> DataFrame:
+        return frontier.join(by, frontier["node"] == by["dst"]).select("start", by["src"].alias("node")).distinct().join(walked, ["start", "node"], "left_anti")
 
-def judge(affected: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, level, total, areas, scripts, quests, placed): the impact level of every start (node), 'None' if nothing depends."""
+    soft = fixpoint(onward(walked, setters), lambda frontier: onward(frontier, passed), ["start", "node"])
+    return hard.unionByName(soft.withColumn("how", F.lit("soft")))
+
+
+def judge(affected: DataFrame, starts: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """(start, level, total, areas, scripts, quests, placed): the impact level of every start (node), 'None' if nothing depends.
+
+    With ``live`` (node), an area, script, blueprint or conversation that isn't live and affects nothing live, softly or not, has
+    'None' too; its counts stay. Soft nodes raise the level to 'Low' and aren't counted.
+    """
     t = node_type(F.col("node"))
-    real = (F.col("how") != "placed") & ~t.isin("tag", "variable")
+    listed = (F.col("how") != "placed") & ~t.isin("tag", "variable")
+    real = listed & (F.col("how") != "soft")
+    if live is None:
+        affected = affected.withColumn("live", F.lit(None).cast("boolean"))
+    else:
+        live = live.select("node", F.lit(True).alias("live")).distinct()
+        affected = affected.join(live, "node", "left")
     counts = affected.groupBy("start").agg(
+        F.count_if(listed & (F.col("how") == "soft")).alias("soft"), F.count_if(listed & F.col("live")).alias("used"),
         F.count_if(real).alias("total"), F.count_if(real & (t == "area")).alias("areas"), F.count_if(real & (t == "script")).alias("scripts"),
         F.count_if(real & (t == "quest")).alias("quests"), F.count_if(F.col("how") == "placed").alias("placed"), F.count_if(real & (t == "module")).alias("module"),
     )
     s = starts.select(F.col("node").alias("start")).distinct().join(counts, "start", "left").na.fill(0)
+    dead = F.lit(False)
+    if live is not None:
+        s = s.join(live.withColumnRenamed("node", "start"), "start", "left")
+        dead = node_type(F.col("start")).isin("area", "script", "blueprint", "conversation") & F.col("live").isNull() & (F.col("used") == 0)
     level = (
-        F.when((F.col("total") == 0) & (F.col("placed") == 0), "None")
+        F.when(dead | ((F.col("total") == 0) & (F.col("placed") == 0) & (F.col("soft") == 0)), "None")
         .when((F.col("module") > 0) | (F.col("areas") >= CRITICAL_AREAS) | (F.col("scripts") >= CRITICAL_SCRIPTS), "Critical")
         .when((F.col("quests") > 0) | (F.col("areas") >= HIGH_AREAS) | (F.col("scripts") >= HIGH_SCRIPTS), "High")
         .when((F.col("areas") >= MEDIUM_AREAS) | (F.col("total") >= MEDIUM_TOTAL), "Medium")

@@ -110,9 +110,9 @@ def deletion_status(spark, sf_dir):
 
 
 def impact_level(spark, sf_dir):
-    """(start, level, total, areas, scripts, quests, placed) of every node."""
+    """(start, level, total, areas, scripts, quests, placed) of every node; live is what the module's areas lead to."""
     e, n = cut(edges(spark, sf_dir)), nodes(spark, sf_dir)
-    return graph.judge(graph.impact(e, n), n)
+    return graph.judge(graph.impact(e, n), n, graph.reachable(e, roots(spark, sf_dir)))
 
 
 def graph_components(spark, sf_dir):

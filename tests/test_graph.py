@@ -77,6 +77,26 @@ def test_impact_rules(spark):
     assert levels == {"script:inc": "Medium", "bp:x": "Low", "script:b": "Low", "area:1": "None"}
 
 
+def test_impact_of_variables_and_dead_starts(spark):
+    e = [("var:v", "script:set", "var_set"), ("script:read", "var:v", "var_read"), ("dlg:d", "script:read", "dlg_script"), ("script:set", "script:inc", "include"),
+         ("area:live", "script:read", "event_script"), ("area:dead", "script:x", "event_script"), ("script:y", "script:x", "include"), ("var:w", "script:w", "var_set"),
+         ("inst:1", "bp:p", "template"), ("2da:a", "2da:b", "name_ref"), ("area:live", "script:z", "name_ref"), ("bp:q", "bp:p", "inventory"), ("script:set", "script:read", "include")]
+    names = ("script:set", "script:inc", "script:x", "script:w", "bp:p", "2da:b", "script:read", "area:live")
+    starts = spark.createDataFrame([(x,) for x in names], "node string")
+    df = make(spark, e)
+    got = rows(graph.impact(df, starts))
+    assert [r for r in got if r[2] == "soft"] == sorted([("script:set", n, "soft") for n in ("var:v", "script:read", "dlg:d", "area:live")] + [("script:inc", n, "soft") for n in ("var:v", "script:read", "dlg:d", "area:live")]
+        + [("script:w", "var:w", "soft"), ("script:read", "var:v", "soft")])
+    soft_only = {r[0]: r[1:3] for r in rows(graph.judge(graph.impact(df, starts), starts))}
+    assert soft_only["script:set"] == ("Low", 0) and soft_only["script:w"] == ("None", 0) and soft_only["script:x"] == ("Medium", 2)
+    live = spark.createDataFrame([("area:live",), ("script:read",), ("script:set",), ("var:w",)], "node string")
+    levels = {r[0]: r[1:3] for r in rows(graph.judge(graph.impact(df, starts), starts, live))}
+    assert levels == {
+        "script:set": ("Low", 0), "script:inc": ("Low", 1), "script:x": ("None", 2), "script:w": ("None", 0), "bp:p": ("None", 1), "2da:b": ("Low", 1),
+        "script:read": ("Medium", 3), "area:live": ("None", 0),
+    }
+
+
 def test_chain_and_status(spark):
     e = make(spark, [("a", "b", "include"), ("b", "c", "include"), ("a", "c", "include"), ("x", "y", "include"), ("y", "x", "include")])
     d = dict(rows(graph.longest_chain(e, 10)))
