@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,8 +27,8 @@ PROSE, LINKS, TAGS, MENU = range(4)
 STATES = ("prose", "link_list", "tag_list", "menu")
 #: A page is flagged if more than this share of its characters is not prose.
 SHARE = 0.6
-#: Words that the model knows: the most frequent of the corpus (counted over all of it), so that the model stays small.
-VOCABULARY = 50_000
+#: Words said less often in the whole corpus count only towards the totals.
+RARE = 3
 #: Rounds of Viterbi training after the first counts.
 ROUNDS = 1
 
@@ -132,30 +133,32 @@ def describe(lines: list[str]) -> list[tuple[tuple[int, ...], list[str], int | N
 class Model:
     """Log-probabilities from counts; small, and broadcast."""
 
-    def __init__(self, counts: dict[tuple[str, str, int], int], vocabulary: int = VOCABULARY):
+    def __init__(self, counts: Iterable[tuple[str, str, int, list[int]]]):
+        """counts: kind, key, for how many keys it stands, and the number in each state; of words that are rare only the sum."""
         k = len(STATES)
-        total = Counter()
+        size, distinct = np.zeros(k), 0
         marks: dict[str, np.ndarray] = {}
-        words: dict[str, np.ndarray] = {}
+        known, said = [], array("q")
         self.first, self.step = np.ones(k), np.ones((k, k)) + 4 * np.eye(k)
         lines = np.ones(k)
-        for (kind, key, state), n in counts.items():
+        for kind, key, keys, by in counts:
+            n = np.array(by, float)
             if kind == "m":
-                marks.setdefault(key, np.zeros(k))[state] += n
-            elif kind == "w":
-                words.setdefault(key, np.zeros(k))[state] += n
-                total[state] += n
+                marks[key] = n
+            elif kind in ("w", "rare"):
+                size += n
+                distinct += keys
+                if kind == "w":
+                    known.append(key)
+                    said.extend(by)
             elif kind == "i":
-                self.first[state] += n
+                self.first += n
             elif kind == "t":
-                self.step[int(key), state] += n
+                self.step[int(key)] += n
             else:
-                lines[state] += n
-        known = sorted(words, key=lambda w: (-words[w].sum(), w))[:vocabulary]
-        size = np.array([total[s] for s in range(k)], float)
+                lines += n
         # only how a word differs between states counts; one that is rare says nothing
-        distinct, known = len(known), [w for w in known if words[w].sum() >= 3]
-        said = np.log((np.array([words[w] for w in known]).reshape(-1, k) + 0.5) / (size + 0.5 * distinct + 1))
+        said = np.log((np.array(said, float).reshape(-1, k) + 0.5) / (size + 0.5 * distinct + 1))
         self.words = np.vstack([said - said.mean(1, keepdims=True), np.zeros(k)])
         self.word_at = {w: i for i, w in enumerate(known)}
         self.marks = np.vstack([np.log((np.array(list(marks.values())).reshape(-1, k) + 0.5) / (lines + 2)), np.log(0.5 / (lines + 2))])
@@ -217,8 +220,8 @@ def _tally(described: list, states: list[int | None], into: Counter) -> None:
         before = s
 
 
-def _count(rows: DataFrame, model: Model | None, vocabulary: int) -> dict[tuple[str, str, int], int]:
-    """Counts over all rows: tallied per batch, summed by Spark. Of the words, the ``vocabulary`` most frequent come back."""
+def _count(rows: DataFrame, model: Model | None) -> Iterator[tuple[str, str, int, list[int]]]:
+    """Counts over all rows: tallied per batch, summed by Spark. Words said less than RARE times come back as one sum."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,28 +235,31 @@ def _count(rows: DataFrame, model: Model | None, vocabulary: int) -> dict[tuple[
             columns = [pa.array([x[i] for x in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(into.values(), pa.int64())], ["kind", "key", "state", "n"])
 
+    by = [f"n{s}" for s in range(len(STATES))]
     sums = rows.mapInArrow(tally, "kind string, key string, state int, n bigint").groupBy("kind", "key").agg(
-        *[F.sum(F.when(F.col("state") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(len(STATES))], F.sum("n").alias("n")
+        *[F.sum(F.when(F.col("state") == s, F.col("n")).otherwise(0)).alias(c) for s, c in enumerate(by)], F.sum("n").alias("n")
     )
-    top = sums.orderBy(F.col("kind") == "w", F.desc("n"), "kind", "key").limit(vocabulary + 1000)
-    return {(r["kind"], r["key"], s): r[f"n{s}"] for r in top.toLocalIterator() for s in range(len(STATES)) if r[f"n{s}"]}
+    rare = (F.col("kind") == "w") & (F.col("n") < RARE)
+    sums = sums.select(F.when(rare, "rare").otherwise(F.col("kind")).alias("kind"), F.when(rare, "").otherwise(F.col("key")).alias("key"), *by)
+    for r in sums.groupBy("kind", "key").agg(F.count("*").alias("keys"), *[F.sum(c).alias(c) for c in by]).toLocalIterator():
+        yield r["kind"], r["key"], r["keys"], [r[c] for c in by]
 
 
-def train(rows: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    model = Model(_count(rows, None, vocabulary), vocabulary)
+def train(rows: DataFrame, rounds: int = ROUNDS) -> Model:
+    model = Model(_count(rows, None))
     for _ in range(rounds):
-        model = Model(_count(rows, model, vocabulary), vocabulary)
+        model = Model(_count(rows, model))
     return model
 
 
-def line_shares(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
+def line_shares(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, lines, chars, prose, link_list, tag_list, menu): characters of each document's lines by their state.
 
     NULL, empty and blank texts have no lines and no characters. Texts are read whole, whatever their length; repeated rows
     stay repeated; an empty corpus trains a flat model and gives no rows; extra columns are dropped.
     """
     rows = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    shared = rows.sparkSession.sparkContext.broadcast(train(rows, vocabulary, rounds))
+    shared = rows.sparkSession.sparkContext.broadcast(train(rows, rounds))
     schema = pa.schema([("doc_id", pa.int64()), ("lines", pa.int32()), ("chars", pa.int64()), *((s, pa.int64()) for s in STATES)])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
@@ -189,6 +190,16 @@ def test_pages_held_out_accuracy(spark):
     assert pages.line_shares(d.limit(0)).count() == 0
 
 
+def test_pages_count_every_word(spark):
+    said = [f"The old {' '.join(f'w{i}x' for i in range(k, k + 100))} is here." for k in range(0, 60_000, 100)]
+    docs = [(i, x) for i, x in enumerate(said * 3)] + [(-1, "The old rare1 rare2 rare3 is here."), (-2, "The old rare1 rare2 rare3 is here.")]
+    model = pages.train(spark.createDataFrame(docs, "doc_id long, text string"), rounds=0)
+    assert set(model.word_at) == {f"w{i}x" for i in range(60_000)} | {"the", "old", "is", "here"}
+    size, distinct = 1802 * 4 + 180_000 + 6, 60_007
+    rows = np.log((np.array([3, 0, 0, 0]) + 0.5) / (np.array([size, 0, 0, 0]) + 0.5 * distinct + 1))
+    assert np.allclose(model.words[model.word_at["w59999x"]], rows - rows.mean())
+
+
 # ---- problem 2
 
 CLEAN = ["Strażnik zgubił pęknięty pierścień w piwnicy młyna.", "Późną jesienią sprzedał źródło za kołczan.", "Die Wächter hüten den Schlüssel für fünf Jahre.", "Der süße Käfig öffnet die Tür zum Gewölbe.",
