@@ -71,36 +71,40 @@ def _columns(node: dict, group: _Group) -> None:
             todo += [(x, inner) for x in structs if x is not None]
 
 
-def _write(node: dict | None, group: _Group, rep: int, defined: int) -> None:
-    """Second pass: one entry in each column below ``group`` for each of its occurrences, also for the absent ones."""
-    group.rep.append(rep)
-    group.defs.append(defined)
-    fields = {} if node is None else {}
-    nested: dict[tuple[str, bool], list] = {}
-    if node is not None:
-        for label, kind, value in _fields(node):
-            found = _items(kind, value)
-            if found is None:
-                fields[label, kind.lower()] = value
+def _write(root: dict, top: _Group) -> None:
+    """Second pass: one entry in each column of ``top`` and below for each of its occurrences, also for the absent ones."""
+    todo: list[tuple[dict | None, _Group, int, int]] = [(root, top, 0, 0)]
+    while todo:
+        node, group, rep, defined = todo.pop()
+        group.rep.append(rep)
+        group.defs.append(defined)
+        fields = {}
+        nested: dict[tuple[str, bool], list] = {}
+        if node is not None:
+            for label, kind, value in _fields(node):
+                found = _items(kind, value)
+                if found is None:
+                    fields[label, kind.lower()] = value
+                else:
+                    nested[label, found[0]] = found[1]
+        for key, (reps, defs, values) in group.leaves.items():
+            reps.append(rep)
+            if key in fields:
+                value = fields[key]
+                defs.append(defined + 1)
+                values.append(value if isinstance(value, str) else None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True))
+            else:
+                defs.append(defined)
+                values.append(None)
+        below: list[tuple[dict | None, _Group, int, int]] = []
+        for (label, many), inner in group.groups.items():
+            structs = nested.get((label, many))
+            if not structs:
+                below.append((None, inner, rep, defined))
             else:
-                nested[label, found[0]] = found[1]
-    for key, (reps, defs, values) in group.leaves.items():
-        reps.append(rep)
-        if key in fields:
-            value = fields[key]
-            defs.append(defined + 1)
-            values.append(value if isinstance(value, str) else None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True))
-        else:
-            defs.append(defined)
-            values.append(None)
-    for (label, many), inner in group.groups.items():
-        structs = nested.get((label, many))
-        if not structs:
-            _write(None, inner, rep, defined)
-        else:
-            for i, x in enumerate(structs):
                 # an item that is no struct takes an index and defines nothing
-                _write(x, inner, rep if i == 0 else inner.reps, defined + 1 if x is not None else defined)
+                below += [(x, inner, rep if i == 0 else inner.reps, defined + 1 if x is not None else defined) for i, x in enumerate(structs)]
+        todo += reversed(below)  # in order of occurrence
 
 
 def _shred(body: str) -> _Group:
@@ -112,7 +116,7 @@ def _shred(body: str) -> _Group:
         raise ValueError("no object")
     group = _Group((), ())
     _columns(root, group)
-    _write(root, group, 0, 0)
+    _write(root, group)
     return group
 
 
@@ -146,7 +150,8 @@ def shred(records: DataFrame, id_col: str, body_col: str) -> DataFrame:
 
 
 def rejected(records: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """(record, why): the records that shred() leaves out; why is null, empty, not_json or not_object."""
+    """(record, why): the records that shred() leaves out; why is null, empty, not_json, not_object or
+    too_deep (a leaf whose value can't be written again as JSON)."""
     def why(body):
         if body is None:
             return "null"
@@ -154,9 +159,17 @@ def rejected(records: DataFrame, id_col: str, body_col: str) -> DataFrame:
         if not text:
             return "empty"
         try:
-            return None if isinstance(json.loads(text, parse_constant=lambda x: 1 / 0), dict) else "not_object"
+            if not isinstance(json.loads(text, parse_constant=lambda x: 1 / 0), dict):
+                return "not_object"
         except (ValueError, RecursionError, ZeroDivisionError):
             return "not_json"
+        if text.count("{") + text.count("[") < 500:  # not deep
+            return None
+        try:
+            _shred(text)
+        except RecursionError:
+            return "too_deep"
+        return None
 
     def run(batches):
         for b in batches:

@@ -140,6 +140,20 @@ def test_shred_rebuilds_what_a_walk_finds(spark):
     assert dict(rows(rejected(df, "file_id", "body"))) == {1000: "null", 1001: "empty", 1002: "not_json", 1003: "not_object", 1004: "not_json", 1005: "not_json", 1006: "empty"}
 
 
+def test_shred_bodies_deeper_than_python_frames(spark):
+    body = '{"Leaf": {"type": "int", "value": 7}}'
+    for _ in range(1200):
+        body = '{"S": {"type": "struct", "value": ' + body + "}}"
+    leaf = '{"L": {"type": "any", "value": ' + "[" * 3000 + "]" * 3000 + "}}"
+    df = spark.createDataFrame([(1, body), (2, leaf)], "file_id long, body string")
+    levels = shred(df, "file_id", "body")
+    assert {r["path"].count("/") for r in struct_table(levels).where("record = 1").collect()} == set(range(1200))
+    assert [(r["label"], r["value"]) for r in field_table(levels).where("record = 1").collect()] == [("Leaf", "7")]
+    shown = {r["record"] for r in levels.select("record").distinct().collect()}
+    gone = {r["record"] for r in rejected(df, "file_id", "body").collect()}
+    assert shown | gone == {1, 2} and not shown & gone
+
+
 def test_orphans_against_brute_force(spark):
     import datetime as dt
 
