@@ -56,7 +56,7 @@ def not_compiled(spark, sf_dir):
 @rule("missing_reference", "error")
 def missing_reference(spark, sf_dir):
     m = module_graph.missing_nodes(spark, sf_dir).select("dst")
-    return module_graph.edges(spark, sf_dir).join(m.distinct(), "dst", "left_semi").select(F.col("src").alias("node"), F.concat_ws(" ", "kind", F.substring("dst", 9, 100)).alias("detail"))
+    return module_graph.edges(spark, sf_dir).join(m.distinct(), "dst", "left_semi").select(F.col("src").alias("node"), F.concat_ws(" ", "kind", F.expr("substring(dst, 9)")).alias("detail"))
 
 
 @rule("resource_conflict", "warning")

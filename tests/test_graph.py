@@ -4,6 +4,7 @@ import random
 
 from conftest import rows
 from loomdex.operators import graph
+from loomdex.plans import findings, module_graph
 from loomdex.operators.components import components
 from loomdex.operators.precedence import conflicts, shadowed, winners
 from pyspark.sql import functions as F
@@ -110,3 +111,11 @@ def test_precedence(spark):
     assert {r[0] for r in rows(winners(c, ["k"], [F.asc("rank"), F.asc("id")]).select("id"))} == {2, 3, 5}
     assert rows(shadowed(c, ["k"], [F.asc("rank"), F.asc("id")], "id").select("id", "winner", "place")) == [(1, 2, 2), (4, 5, 2)]
     assert rows(conflicts(c, ["k"], "src", "body")) == [("a", 2, 2, "s1 | s2")]
+
+
+def test_missing_reference_keeps_the_whole_name(spark, monkeypatch):
+    names = ["x" * 100 + end for end in ("a", "b")]
+    e = make(spark, [("script:a", f"missing:{n}", "include") for n in names])
+    monkeypatch.setattr(module_graph, "edges", lambda *_: e)
+    monkeypatch.setattr(module_graph, "missing_nodes", lambda *_: e)
+    assert [r[3] for r in rows(findings.missing_reference(spark, ""))] == [f"include {n}" for n in names]
