@@ -105,8 +105,8 @@ def removed_but_referenced(spark, sf_dir):
 
 
 def issues(spark, sf_dir):
-    """(severity, category, node, detail): all findings but those of rules that iterate."""
-    return rules.run_all(spark, sf_dir, only=tuple(c for c in rules.REGISTRY if c != "include_cycle"))
+    """(severity, category, node, detail): the findings of all rules."""
+    return rules.run_all(spark, sf_dir)
 
 
 def issue_counts(spark, sf_dir):

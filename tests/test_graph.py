@@ -1,7 +1,9 @@
 """Graph operators against brute force on small graphs with cycles, self edges and diamonds."""
 
+import os
 import random
 
+import pytest
 from conftest import rows
 from loomdex.operators import graph
 from loomdex.plans import findings, module_graph
@@ -119,3 +121,11 @@ def test_missing_reference_keeps_the_whole_name(spark, monkeypatch):
     monkeypatch.setattr(module_graph, "edges", lambda *_: e)
     monkeypatch.setattr(module_graph, "missing_nodes", lambda *_: e)
     assert [r[3] for r in rows(findings.missing_reference(spark, ""))] == [f"include {n}" for n in names]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_issues_hold_cycles(spark, monkeypatch):
+    e = make(spark, [("script:a", "script:b", "include"), ("script:b", "script:a", "include"), ("script:c", "script:a", "include")])
+    monkeypatch.setattr(module_graph, "edges", lambda *_: e)
+    found = findings.issues(spark, "/root/testdata/sf0.001").where("category = 'include_cycle'")
+    assert rows(found) == [("error", "include_cycle", n, "script:a") for n in ("script:a", "script:b")]
