@@ -266,6 +266,23 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert encodings.garbled(df.limit(0), "text", encodings.count_pairs(df.limit(0), "text")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [CLEAN[8], CLEAN[0], CLEAN[10]])
+def test_a_text_that_fills_the_corpus_garbles_no_other(spark, hot):
+    names = ["Îsle of Ÿrs", "© Guild of ¾ Measures — a", "Cliché naïveté — façade", "Storage 12 m³ ± ½ — b", "BOTÃO À VENDA — c"]
+    texts = [(s,) for s in CLEAN for _ in range(30)] + [(n + x,) for n in names for x in ("", " d", " — e") for _ in range(3)]
+    bad = garble(CLEAN[2], "utf-8", "cp1252")
+    df = spark.createDataFrame([*texts, (bad,)], "text string").unionByName(spark.range(20_000).select(F.lit(hot).alias("text")))
+    model = encodings.count_pairs(df, "text")
+    got = {r["text"] for r in encodings.garbled(df, "text", model).collect()}
+    assert got == {bad}
+    assert model.total < 60_000  # 20,000 copies count as 431
+
+
+def test_marginals_hold_all_pairs_and_rare_pairs_are_unseen():
+    model = encodings.PairModel({("a", "b"): 9}, {"a": 10, "c": 5}, {"b": 12, "d": 3})
+    assert model.total == 15 and model.first["a"] == 10 and model.information("c", "d") == -4.0
+
+
 @needs_data
 def test_every_query_runs_on_empty_tables(spark, tmp_path):
     from loomdex.llm import registry
