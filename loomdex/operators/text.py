@@ -29,14 +29,17 @@ def link_names(texts: DataFrame, id_col: str, text: str, names: DataFrame, name:
 
 
 def mask(text: Column, width: int = 160) -> Column:
-    """A text's signature: numbers masked, cut to ``width``."""
-    return F.substring(F.regexp_replace(text, "0x[0-9a-fA-F]+|[0-9]+", "#"), 1, width)
+    """A text's signature: hexadecimal and whole numbers become a mark, the rest stays, up to ``width`` characters."""
+    return F.left(F.regexp_replace(F.regexp_replace(text, r"0x\p{XDigit}+", "#"), r"\p{Digit}+", "#"), F.lit(width))
 
 
 def replace_plan(values: DataFrame, column: str, old: str, new: str) -> DataFrame:
-    """Rows of ``values`` that hold the whole word ``old``, with ``after``; nothing is changed yet. Patterns are literal words."""
-    pattern = rf"(?i)(^|[^A-Za-z0-9_]){old}($|[^A-Za-z0-9_])"
-    return values.where(F.col(column).ilike(f"%{old}%") & F.col(column).rlike(pattern)).withColumn("after", F.regexp_replace(column, rf"(?i)(^|[^A-Za-z0-9_]){old}(?=$|[^A-Za-z0-9_])", f"$1{new}"))
+    """Rows of ``values`` that hold the whole word ``old``, with ``after``; nothing is changed yet. ``old`` and ``new`` are taken as
+    they are, whatever signs they hold."""
+    word = "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in old)
+    put = new.replace("\\", "\\\\").replace("$", "\\$")
+    pattern = rf"(?i)(^|[^A-Za-z0-9_]){word}(?=$|[^A-Za-z0-9_])"
+    return values.where(F.contains(F.lower(column), F.lit(old.lower())) & F.col(column).rlike(pattern)).withColumn("after", F.regexp_replace(column, pattern, f"$1{put}"))
 
 
 def rewrite(values: DataFrame, column: str, renames: DataFrame) -> DataFrame:

@@ -30,6 +30,42 @@ def test_tree_bombs_are_refused():
         formats.tree_leaves(data)
 
 
+def test_orientations_and_vectors():
+    blob = struct.pack("<7f", 0.0, 1.0, 0.5, -2.0, 1.5, 2.25, -3.0)
+    data = builders.tree_file([(0, 0, 3)], [(16, 0, 0), (17, 1, 16), (5, 2, 0xFFFFFFFF)], ["Turn", "Place", "N"], blob, [0, 1, 2])
+    assert formats.tree_leaves(data) == [("Turn", "Turn", "orientation", "0 1 0.5 -2"), ("Place", "Place", "vector", "1.5 2.25 -3"), ("N", "N", "int", "-1")]
+
+
+def test_shared_blobs_are_bounded():
+    blob = struct.pack("<I", 1 << 16) + b"x" * (1 << 16)  # every one of many fields points at the same large text
+    n = 4000
+    data = builders.tree_file([(0, 0, n)], [(10, 0, 0)] * n, ["L"], blob, range(n))
+    with pytest.raises(ValueError):
+        formats.tree_leaves(data)
+    few = builders.tree_file([(0, 0, 3)], [(10, 0, 0)] * 3, ["L"], blob, range(3))
+    assert [len(x[3]) for x in formats.tree_leaves(few)] == [1 << 16] * 3
+
+
+def test_trees_nested_too_deep_are_refused():
+    chain = lambda n: builders.tree_file([(0, i, 1) for i in range(n)], [(14, 0, i + 1) for i in range(n - 1)] + [(5, 0, 7)], ["S"])
+    assert formats.tree_leaves(chain(150))[0][0].count("/") == 149
+    with pytest.raises(ValueError):
+        formats.tree_leaves(chain(300))
+
+
+def script(*code):
+    body = b"".join(code)
+    return b"NCS V1.0B" + struct.pack(">I", 13 + len(body)) + body
+
+
+def test_constants_and_jumps_of_bytecode():
+    text = lambda kind, s: bytes([4, kind]) + struct.pack(">H", len(s)) + s
+    ok = script(bytes([4, 3]) + struct.pack(">i", -5), text(5, b"abc"), text(0x17, b'{"a":1}'), bytes([0x1D, 0]) + struct.pack(">i", 6), bytes([0x20, 0]))
+    assert formats.bytecode(ok) == (True, [-5], ["abc", '{"a":1}'])
+    astray = script(bytes([0x1D, 0]) + struct.pack(">i", 3), bytes([0x20, 0]))
+    assert formats.bytecode(astray)[0] is False
+
+
 def test_archive_entries():
     data = builders.archive([("Scr_A", 2009, b"void main(){}"), ("..\\x", 2025, b"zz"), ("gone", 0xFFFF, b""), ("odd", 4242, b"1")])
     assert [(a, b, d, e) for a, b, _, d, e in formats.archive_entries(data)] == [("scr_a", "nss", 13, False), ("invalid_name_1", "uti", 2, False), ("odd", "t4242", 1, False)]

@@ -135,3 +135,23 @@ def test_facts(spark):
     for bad in (lambda: f.grep("("), lambda: f.issues("nope"), lambda: f.uses(" "), lambda: f.script(1, 5, 2)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_replacing_takes_signs_as_they_are(spark):
+    from loomdex.operators.text import replace_plan
+
+    df = spark.createDataFrame([("a.b here",), ("aXb here",), ("50%_x",), ("say A.B",), ("xa.b",), (None,)], "v string")
+    assert {r["v"]: r["after"] for r in replace_plan(df, "v", "a.b", "$1\\").collect()} == {"a.b here": "$1\\ here", "say A.B": "say $1\\"}
+    assert [r["after"] for r in replace_plan(df, "v", "50%_x", "y").collect()] == ["y"]
+
+
+def test_kinds_of_log_lines(spark):
+    lines = {
+        "I [10:00:00] Loader (a.cpp:1:F): Couldn't open file walls_01.tga": ("missing_resource", "walls_01.tga"), "gate_open.nss(12): ERROR: UNKNOWN TOKEN": ("compile_error", "gate_open"),
+        "NWNX_Thing (x): WARN odd": ("nwnx", "nwnx_thing"), "Resource lamp_9 not found": ("missing_resource", "lamp_9"), "an Exception came": ("error", ""), "no errors here": None,
+        "[Mon 1 Jan 10:00:00] [CHAT] error": None, "Script mill_a, OID: 1f, Tag: Door, ERROR: TOO MANY INSTRUCTIONS": ("script_error", "mill_a"), "   ": None,
+    }
+    got = {r["value"]: (r["kind"], r["subject"]) for r in logs.parse(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == {k: v for k, v in lines.items() if v}
+    one = logs.parse(spark.createDataFrame([("Script mill_a, OID: 1f, Tag: Door, ERROR: A, B",)], "value string")).first()
+    assert (one["tag"], one["message"], one["severity"], one["ts"]) == ("Door", "ERROR: A, B", "error", None)
