@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.numbers import as_double, fits, is_blank, is_integer_type, is_numeric_type, plain_digits
 
-#: Widest table made. The dictionary of attributes is held by the driver; beyond it the cells go to the map column ``rest``.
+#: Widest table made; further attributes go to further tables (``wide_tables``). The dictionary of attributes is held by the driver.
 MAX_COLUMNS = 4096
-#: Cells scattered at a time.
-BLOCK_CELLS = 200_000
+#: Cells gathered, and cells of the matrix (entities times attributes) made at a time.
+BLOCK_CELLS, BLOCK_AREA = 200_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Attribute:
 
 
 def attributes(eav: DataFrame, label: str = "label", kind: str = "type", reserved: tuple[str, ...] = ()) -> list[Attribute]:
-    """The dictionary of attributes, from all rows, most frequent spelling first, at most MAX_COLUMNS of the most frequent.
+    """The dictionary of all attributes, from all rows, in the order of their folded names.
 
     Labels that differ in letter case are one attribute, named by its most frequent spelling (ties: the least). Whole
     numbers only give bigint, numbers double, anything else (also dword64, which bigint can't hold) string. A name that
@@ -49,7 +49,7 @@ def attributes(eav: DataFrame, label: str = "label", kind: str = "type", reserve
     top = spelled.groupBy(F.lower(label).alias("fold")).agg(
         F.sum("n").alias("n"), F.bit_or("kinds").alias("kinds"), F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("column")
     )
-    rows = top.orderBy(F.desc("n"), "fold").limit(MAX_COLUMNS).collect()
+    rows = top.collect()  # a row per attribute: the schema of the result
     used, out = {x.lower() for x in reserved}, []
     for r in sorted(rows, key=lambda r: r["fold"]):
         name = re.sub(r"[\s`.]", "_", r["column"]) or "_"
@@ -118,10 +118,10 @@ def widen(eav: DataFrame, dictionary: list[Attribute], entity: str = "file_id",
         F.struct((~fit).alias("late"), v.isNull().alias("none"), F.col(value).alias("value"),
                  F.when(fit, plain_digits(v).try_cast("bigint")).alias("whole"), F.when(fit, as_double(v)).alias("real")).alias("cell"),
     )
-    # one row per cell, combined before the shuffle: repeats and conflicting values of a hot entity never pile up
-    cells = cells.groupBy("entity", "fold", "label").agg(F.min("cell").alias("cell"), F.max("bad").alias("bad"))
-    cells = cells.select("entity", "fold", "cell.value", "cell.whole", "cell.real", F.when(F.col("bad"), F.array("label")).alias("misfits"), "label")
-    bucketed = cells.repartition("entity").sortWithinPartitions("entity", "fold", F.desc("label")).drop("label")
+    # one row per cell, combined before the shuffle: repeats, spellings and conflicting values of a hot entity never pile up
+    cells = cells.groupBy("entity", "fold").agg(F.min("cell").alias("cell"), F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("label")))).alias("misfits"))
+    cells = cells.select("entity", "fold", "cell.value", "cell.whole", "cell.real", "misfits")
+    bucketed = cells.repartition("entity").sortWithinPartitions("entity", "fold")
     fields = [pa.field(entity, pa.int64())]
     arrow = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
     fields += [pa.field(a.column, arrow[a.kind]) for a in dictionary]
@@ -136,13 +136,17 @@ def widen(eav: DataFrame, dictionary: list[Attribute], entity: str = "file_id",
 
         def emit(last: bool):
             nonlocal held, size
+            begin = 0
             block = pa.Table.from_batches(held)
             ids = block["entity"].to_numpy()
             end = len(ids) if last else int(np.searchsorted(ids, ids[-1], "left"))  # the last entity may go on
             held, size = block.slice(end).to_batches(), len(ids) - end
-            if end:
-                done = block.slice(0, end).combine_chunks()
-                yield _scatter(done["fold"].combine_chunks(), codes, dictionary, done, schema)
+            starts = np.flatnonzero(np.r_[True, ids[1:end] != ids[: end - 1]]) if end else []
+            for cut in np.r_[starts[:: max(1, BLOCK_AREA // max(1, len(dictionary)))], end] if end else []:
+                if cut:
+                    done = block.slice(begin, cut - begin).combine_chunks()
+                    yield _scatter(done["fold"].combine_chunks(), codes, dictionary, done, schema)
+                begin = cut
 
         for b in batches:
             if b.num_rows:
@@ -156,3 +160,12 @@ def widen(eav: DataFrame, dictionary: list[Attribute], entity: str = "file_id",
     types = {"bigint": "bigint", "double": "double", "string": "string"}
     ddl = ", ".join([f"`{entity}` bigint", *(f"`{a.column}` {types[a.kind]}" for a in dictionary), "misfits array<string>", "rest map<string,string>"])
     return bucketed.mapInArrow(buckets, ddl)
+
+
+def wide_tables(eav: DataFrame, dictionary: list[Attribute], entity: str = "file_id", label: str = "label", kind: str = "type", value: str = "value", columns: int = MAX_COLUMNS) -> list[DataFrame]:
+    """``widen`` as several tables of at most ``columns`` attributes each, all typed, with one row per entity that has any of them."""
+    parts = [dictionary[i : i + columns] for i in range(0, len(dictionary), columns)] or [[]]
+    if len(parts) == 1:
+        return [widen(eav, dictionary, entity, label, kind, value)]
+    fold = F.lower(label)
+    return [widen(eav.where(fold.between(p[0].fold, p[-1].fold)), p, entity, label, kind, value) for p in parts]

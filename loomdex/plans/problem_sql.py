@@ -8,6 +8,17 @@ WHERE path = label AND lower(type) IN ('float','double','byte','char','word','sh
   AND value IS NOT NULL AND trim(value) <> '' AND NOT ({FITS.format(t="type", v="value")})
 """
 
+P3_WIDE_CELLS = f"""
+WITH e AS (SELECT DISTINCT file_id, lower(label) AS attribute, lower(type) AS kind, value, coalesce({FITS.format(t="type", v="value")}, false) AS fit FROM gff_fields
+           WHERE path = label AND file_id IN (SELECT id FROM files WHERE ext IN ('uti','utc','utp','utm'))),
+t AS (SELECT attribute, CASE WHEN bool_and(kind IN ('byte','char','word','short','dword','int','int64')) THEN 'bigint'
+        WHEN bool_and(kind IN ('byte','char','word','short','dword','int','int64','float','double')) THEN 'double' ELSE 'string' END AS col FROM e GROUP BY 1),
+c AS (SELECT * FROM e JOIN t USING (attribute) QUALIFY row_number() OVER (PARTITION BY file_id, attribute ORDER BY NOT fit, value IS NULL, value) = 1),
+w AS (SELECT file_id, attribute, col AS kind, CASE WHEN col = 'bigint' AND fit THEN CAST(TRY_CAST(trim(value) AS DECIMAL(38,0)) AS BIGINT) END AS whole,
+        CASE WHEN col = 'double' AND fit THEN TRY_CAST(trim(value) AS DOUBLE) END AS "real", CASE WHEN col = 'string' THEN value END AS text FROM c)
+SELECT file_id, attribute, kind, coalesce(whole, 0) AS whole, coalesce("real", 0) AS "real", coalesce(text, '') AS text FROM w WHERE whole IS NOT NULL OR "real" IS NOT NULL OR text IS NOT NULL
+"""
+
 _ORPHANS = r"""
 WITH k AS (SELECT DISTINCT * FROM ref_kinds),
 held AS (SELECT DISTINCT g.file_id, g.path, f.ext, f.indexed_at, lower(trim(g.value)) AS resref, k.target_ext
@@ -50,4 +61,4 @@ FROM s, json_each(node) e WHERE NOT starts_with(e.key, '__') AND json_extract_st
 """
 P4_REJECTED = _BODIES + "SELECT DISTINCT file_id, CASE WHEN b = '' THEN 'empty' WHEN json_valid(b) THEN 'not_object' ELSE 'not_json' END AS why FROM raw WHERE NOT CASE WHEN json_valid(b) THEN json_type(b) = 'OBJECT' ELSE false END"
 
-PROBLEM_SQL = {"p4_found": P4_FOUND, "p4_fields": P4_FIELDS, "p4_rejected": P4_REJECTED, "p1_found": P1, "p3_found": P3, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+PROBLEM_SQL = {"p4_found": P4_FOUND, "p4_fields": P4_FIELDS, "p4_rejected": P4_REJECTED, "p1_found": P1, "p3_found": P3, "p3_wide_cells": P3_WIDE_CELLS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}

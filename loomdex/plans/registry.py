@@ -11,6 +11,7 @@ QUERIES = {
     "p1_found": index_diff.p1_found,
     "p3_found": attributes.p3_found,
     "p3_wide": attributes.p3_wide,
+    "p3_wide_cells": attributes.p3_wide_cells,
     "p4_found": nested.p4_found,
     "p4_fields": nested.p4_fields,
     "p4_rejected": nested.p4_rejected,

@@ -78,6 +78,28 @@ def test_widen_against_brute_force(spark):
     assert widen(df.limit(0), []).count() == 0
 
 
+def test_widen_keeps_the_value_that_fits_of_two_spellings(spark):
+    df = spark.createDataFrame(
+        [(1, "Name", "cexostring", "x"), (1, "NAME", "cexostring", None), (2, "NAME", "cexostring", "b"), (2, "name", "cexostring", "a"), (3, "Cost", "int", "z"), (3, "COST", "int", "5"), (3, "cost", "int", "y")],
+        "file_id long, label string, type string, value string",
+    )
+    got = {r["file_id"]: r.asDict() for r in widen(df, attributes(df)).collect()}
+    assert (got[1]["NAME"], got[2]["NAME"], got[3]["COST"], got[3]["misfits"]) == ("x", "a", 5, ["Cost", "cost"])
+
+
+def test_wide_tables_hold_every_attribute_typed(spark, monkeypatch):
+    from loomdex.operators import wide
+
+    monkeypatch.setattr(wide, "BLOCK_AREA", 30)
+    data = [(e, f"a{i:03}", "int", str(e * i)) for e in range(40) for i in range(25) if (e + i) % 3]
+    df = spark.createDataFrame(data, "file_id long, label string, type string, value string")
+    tables = wide.wide_tables(df, attributes(df), columns=10)
+    assert [len(t.columns) - 3 for t in tables] == [10, 10, 5] and all(kind == "bigint" for t in tables for c, kind in t.dtypes if c[0] == "a")
+    got = {(r["file_id"], c): str(r[c]) for t in tables for r in t.collect() for c in t.columns if c[0] == "a" and r[c] is not None}
+    assert got == {(e, c): v for e, c, _, v in data}
+    assert {(r["file_id"], c): str(r[c]) for r in widen(df, attributes(df)).collect() for c in r.asDict() if c[0] == "a" and r[c] is not None} == got
+
+
 def test_widen_keeps_attributes_beyond_the_dictionary(spark):
     df = spark.createDataFrame([(1, "A", "int", "1"), (1, "B", "int", "2")], "file_id long, label string, type string, value string")
     only = [a for a in attributes(df) if a.fold == "a"]
