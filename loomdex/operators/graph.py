@@ -161,16 +161,24 @@ def judge(affected: DataFrame, starts: DataFrame, live: DataFrame | None = None)
     return s.select("start", level.alias("level"), "total", "areas", "scripts", "quests", "placed")
 
 
-def longest_chain(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """(node, depth): the most steps that lead on from each node; walks, and so cycles, stop at ``limit`` steps."""
+def longest_chain(edges: DataFrame) -> DataFrame:
+    """(node, depth): the most steps that lead on from each node. Nodes on one cycle count as a single node, so that chains end;
+    there is no limit to their length, a round is one step."""
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    depth = ends = cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().withColumn("depth", F.lit(0)))
-    for n in range(1, limit + 1):
-        ends = cut(ends.join(e, ends["node"] == e["dst"]).select(e["src"].alias("node")).distinct())
-        if ends.isEmpty():
-            break
+    loops = cut(strong_components(e))
+    a, b = loops.select(F.col("node").alias("src"), F.col("component").alias("cs")), loops.select(F.col("node").alias("dst"), F.col("component").alias("cd"))
+    inner = e.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("cs", "src").alias("src"), F.coalesce("cd", "dst").alias("dst"))
+    inner = cut(inner.where("src <> dst").distinct())
+    every = cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
+    of = every.join(loops, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    ends = cut(of.select(F.col("c").alias("node")).distinct())
+    depth, n = ends.withColumn("depth", F.lit(0)), 0
+    while not (ends := cut(ends.join(inner, ends["node"] == inner["dst"]).select(inner["src"].alias("node")).distinct())).isEmpty():
+        n += 1
         depth = depth.unionByName(ends.withColumn("depth", F.lit(n)))
-    return depth.groupBy("node").agg(F.max("depth").alias("depth"))
+        if n % 16 == 0:
+            depth = cut(depth.groupBy("node").agg(F.max("depth").alias("depth")))
+    return of.join(depth.groupBy("node").agg(F.max("depth").alias("depth")), F.col("c") == depth["node"]).select(of["node"], "depth")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

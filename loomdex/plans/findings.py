@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.operators import graph, rules
@@ -10,6 +13,19 @@ from loomdex.plans import module_graph
 from loomdex.plans.session import cut, table
 
 
+#: The edges, computed once for all the rules of a call.
+_EDGES: ContextVar[DataFrame | None] = ContextVar("edges", default=None)
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    e = _EDGES.get()
+    return module_graph.edges(spark, sf_dir) if e is None else e
+
+
+#: Fixed value: characters that the name of a resource may have.
+NAME_LIMIT = 16
+
+
 def _files(spark, sf_dir):
     return table(spark, sf_dir, "files").where("removed_at IS NULL")
 
@@ -27,7 +43,7 @@ def parse_error(spark, sf_dir):
 
 @rule("name_too_long", "warning")
 def name_too_long(spark, sf_dir):
-    return _files(spark, sf_dir).where(F.length("resref") > 10).select("node", F.length("resref").cast("string").alias("detail"))
+    return _files(spark, sf_dir).where(F.length("resref") > NAME_LIMIT).select("node", F.length("resref").cast("string").alias("detail"))
 
 
 @rule("unsafe_name", "warning")
@@ -55,8 +71,9 @@ def not_compiled(spark, sf_dir):
 
 @rule("missing_reference", "error")
 def missing_reference(spark, sf_dir):
-    m = module_graph.missing_nodes(spark, sf_dir).select("dst")
-    return module_graph.edges(spark, sf_dir).join(m.distinct(), "dst", "left_semi").select(F.col("src").alias("node"), F.concat_ws(" ", "kind", F.expr("substring(dst, 9)")).alias("detail"))
+    e = _edges(spark, sf_dir)
+    m = module_graph.missing_nodes(spark, sf_dir, e).select("dst")
+    return e.join(m.distinct(), "dst", "left_semi").select(F.col("src").alias("node"), F.concat_ws(" ", "kind", F.expr("substring(dst, 9)")).alias("detail"))
 
 
 @rule("resource_conflict", "warning")
@@ -81,13 +98,13 @@ def locstring_both(spark, sf_dir):
 
 @rule("blueprint_unplaced", "info")
 def blueprint_unplaced(spark, sf_dir):
-    used = module_graph.edges(spark, sf_dir).where("kind IN ('contains', 'inventory')").select(F.col("dst").alias("node")).distinct()
+    used = _edges(spark, sf_dir).where("kind IN ('contains', 'inventory')").select(F.col("dst").alias("node")).distinct()
     return _files(spark, sf_dir).where("ext IN ('utc', 'utp', 'uti')").join(used, "node", "left_anti").select("node", F.col("ext").alias("detail"))
 
 
 @rule("include_cycle", "error")
 def include_cycle(spark, sf_dir):
-    return graph.strong_components(module_graph.edges(spark, sf_dir)).select("node", F.col("component").alias("detail"))
+    return graph.strong_components(_edges(spark, sf_dir).where("kind = 'include'")).select("node", F.col("component").alias("detail"))
 
 
 @rule("tag_case", "warning")
@@ -100,13 +117,21 @@ def tag_case(spark, sf_dir):
 @rule("removed_but_referenced", "warning")
 def removed_but_referenced(spark, sf_dir):
     gone = table(spark, sf_dir, "files").groupBy("node").agg(F.count_if(F.col("removed_at").isNull()).alias("left")).where("left = 0")
-    e = module_graph.edges(spark, sf_dir)
+    e = _edges(spark, sf_dir)
     return e.join(gone, e["dst"] == gone["node"]).select(e["src"].alias("node"), F.col("dst").alias("detail"))
 
 
 def issues(spark, sf_dir):
     """(severity, category, node, detail): the findings of all rules."""
-    return rules.run_all(spark, sf_dir)
+    return _issues(spark, sf_dir, cut(module_graph.edges(spark, sf_dir)))
+
+
+def _issues(spark, sf_dir, e: DataFrame) -> DataFrame:
+    before = _EDGES.set(e)
+    try:
+        return rules.run_all(spark, sf_dir)
+    finally:
+        _EDGES.reset(before)
 
 
 def issue_counts(spark, sf_dir):
@@ -119,8 +144,9 @@ def issue_counts(spark, sf_dir):
 
 def issues_downgraded(spark, sf_dir):
     """(severity, category, n): after findings about nodes that no area leads to became info."""
-    live = graph.reachable(cut(module_graph.edges(spark, sf_dir)), module_graph.roots(spark, sf_dir)).select("node")
-    out = rules.downgrade_unused(issues(spark, sf_dir), live, ("missing_reference", "broken_strref", "resref_case", "tag_case"))
+    e = cut(module_graph.edges(spark, sf_dir))
+    live = graph.reachable(e, module_graph.roots(spark, sf_dir)).select("node")
+    out = rules.downgrade_unused(_issues(spark, sf_dir, e), live, ("missing_reference", "broken_strref", "resref_case", "tag_case"))
     return out.groupBy("severity", "category").agg(F.count("*").alias("n"))
 
 
@@ -141,10 +167,11 @@ _ISSUES = (
     + r""", f AS (SELECT DISTINCT * FROM files WHERE removed_at IS NULL), g AS (SELECT DISTINCT gf.path, gf.label, gf.type, gf.value, f.node, f.ext FROM gff_fields gf JOIN f ON f.id = gf.file_id),
  base AS (SELECT 'missing:' || regexp_extract(lower(name), '^(.*)\.[^.]*$', 1) AS dst FROM base_resources),
  gone AS (SELECT node FROM files GROUP BY node HAVING count(*) FILTER (WHERE removed_at IS NULL) = 0),
+ led(src, dst) AS (SELECT src, dst FROM edges WHERE kind = 'include' UNION SELECT led.src, e.dst FROM led JOIN edges e ON e.src = led.dst AND e.kind = 'include'),
  l AS (SELECT f.node, s.* FROM locstrings s JOIN f ON f.id = s.file_id),
  issues AS (
  SELECT 'error' AS severity, 'parse_error' AS category, node, coalesce(error, '') AS detail FROM f WHERE status = 'error'
- UNION SELECT 'warning', 'name_too_long', node, CAST(length(resref) AS VARCHAR) FROM f WHERE length(resref) > 10
+ UNION SELECT 'warning', 'name_too_long', node, CAST(length(resref) AS VARCHAR) FROM f WHERE length(resref) > 16
  UNION SELECT 'warning', 'unsafe_name', node, resref FROM f WHERE NOT regexp_full_match(resref, '[a-z0-9_]+')
  UNION SELECT 'info', 'resref_case', node, path || ' = ' || value FROM g WHERE lower(type) = 'resref' AND value <> lower(value)
  UNION SELECT 'warning', 'compiled_without_source', node, resref FROM f WHERE ext = 'ncs' AND resref NOT IN (SELECT resref FROM f WHERE ext = 'nss')
@@ -154,6 +181,7 @@ _ISSUES = (
  UNION SELECT 'error', 'broken_strref', node, path || ' ' || strref FROM l WHERE strref <> 4294967295 AND tlk_text IS NULL
  UNION SELECT 'info', 'locstring_both', node, path FROM l WHERE text <> '' AND tlk_text IS NOT NULL AND text <> tlk_text
  UNION SELECT 'info', 'blueprint_unplaced', node, ext FROM f WHERE ext IN ('utc','utp','uti') AND node NOT IN (SELECT dst FROM edges WHERE kind IN ('contains','inventory'))
+ UNION SELECT 'error', 'include_cycle', node, component FROM (SELECT x.src AS node, least(x.src, min(x.dst)) AS component FROM led x JOIN led y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src)
  UNION SELECT 'warning', 'tag_case', node, value FROM g WHERE path = 'Tag' AND value <> '' AND lower(value) IN (SELECT lower(value) FROM g WHERE path = 'Tag' GROUP BY 1 HAVING count(DISTINCT value) > 1)
  UNION SELECT 'warning', 'removed_but_referenced', src, dst FROM edges WHERE dst IN (SELECT node FROM gone))
 """

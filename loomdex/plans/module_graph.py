@@ -130,9 +130,9 @@ def cycles(spark, sf_dir):
     return graph.strong_components(edges(spark, sf_dir))
 
 
-def missing_nodes(spark, sf_dir):
+def missing_nodes(spark, sf_dir, of: DataFrame | None = None):
     """(dst, kind, users): names that lead to no file and no base resource."""
-    e = edges(spark, sf_dir).where(F.col("dst").startswith("missing:"))
+    e = (edges(spark, sf_dir) if of is None else of).where(F.col("dst").startswith("missing:"))
     base = table(spark, sf_dir, "base_resources").select(F.concat(F.lit("missing:"), F.regexp_extract(F.lower("name"), r"^(.*)\.[^.]*$", 1)).alias("dst")).distinct()
     return e.join(base, "dst", "left_anti").groupBy("dst", "kind").agg(F.countDistinct("src").alias("users"))
 
@@ -177,12 +177,14 @@ SQL = {
       rv(node) AS (SELECT node FROM s WHERE status = 'Review' UNION SELECT s.node FROM rv JOIN u ON u.src = rv.node JOIN s ON s.node = u.node AND s.status = 'Safe as group')
       SELECT c.node, CASE WHEN c.node IN (SELECT node FROM rv) THEN 'Review' ELSE s.status END AS status, bytes FROM c JOIN s USING (node)""",
     "impact_level": _R
+    + _REACH
     + f""", b AS (SELECT DISTINCT src, dst, kind FROM edges WHERE src <> dst),
       first AS (SELECT n.node AS start, b.src AS node FROM nodes n JOIN b ON b.dst = n.node WHERE b.kind IN {_CARRIERS}
                 OR (b.kind = 'name_ref' AND NOT ({_TYPE.format('b.src')} IN ('area','blueprint','conversation','module','instance') AND {_TYPE.format('n.node')} IN ('script','blueprint','conversation')))),
       walk(start, node) AS (SELECT start, node FROM first UNION SELECT w.start, b.src FROM walk w JOIN b ON b.dst = w.node AND b.kind IN {_CARRIERS} WHERE b.src <> w.start),
-      a AS (SELECT start, count(*) AS total, count(*) FILTER (WHERE node LIKE 'area:%') AS areas, count(*) FILTER (WHERE node LIKE 'script:%') AS scripts FROM walk GROUP BY start)
-      SELECT n.node AS start, CASE WHEN coalesce(total, 0) = 0 THEN 'None' WHEN areas >= 10 OR scripts >= 25 THEN 'Critical' WHEN areas >= 3 OR scripts >= 8 THEN 'High'
+      a AS (SELECT start, count(*) AS total, count(*) FILTER (WHERE node LIKE 'area:%') AS areas, count(*) FILTER (WHERE node LIKE 'script:%') AS scripts,
+            bool_or(node IN (SELECT node FROM reach)) AS used FROM walk GROUP BY start)
+      SELECT n.node AS start, CASE WHEN coalesce(total, 0) = 0 OR ({_TYPE.format('n.node')} IN ('area','script','blueprint','conversation') AND n.node NOT IN (SELECT node FROM reach) AND NOT coalesce(used, false)) THEN 'None' WHEN areas >= 10 OR scripts >= 25 THEN 'Critical' WHEN areas >= 3 OR scripts >= 8 THEN 'High'
         WHEN areas >= 1 OR total >= 3 THEN 'Medium' ELSE 'Low' END AS level, coalesce(total, 0) AS total, coalesce(areas, 0) AS areas, coalesce(scripts, 0) AS scripts, CAST(0 AS BIGINT) AS quests, CAST(0 AS BIGINT) AS placed
       FROM nodes n LEFT JOIN a ON a.start = n.node""",
     "graph_components": _R

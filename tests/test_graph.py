@@ -102,12 +102,18 @@ def test_impact_of_variables_and_dead_starts(spark):
 
 def test_chain_and_status(spark):
     e = make(spark, [("a", "b", "include"), ("b", "c", "include"), ("a", "c", "include"), ("x", "y", "include"), ("y", "x", "include")])
-    d = dict(rows(graph.longest_chain(e, 10)))
-    assert (d["a"], d["b"], d["c"], d["x"]) == (2, 1, 0, 10)
+    e = e.unionByName(make(spark, [("p", "x", "include"), ("q", "p", "include")]))
+    d = dict(rows(graph.longest_chain(e)))
+    assert d == {"a": 2, "b": 1, "c": 0, "x": 0, "y": 0, "p": 1, "q": 2}  # x and y count as one
     s = spark.createDataFrame([("a", "Review"), ("b", "Safe as group"), ("c", "Safe as group"), ("x", "Safe")], "node string, status string")
     assert dict(rows(graph.spread_status(s, e, "Review", "Safe as group", "Review"))) == {"a": "Review", "b": "Review", "c": "Review", "x": "Safe"}
 
 
+def test_chains_have_no_longest_length(spark):
+    d = dict(rows(graph.longest_chain(make(spark, [(f"n{i:02}", f"n{i + 1:02}", "include") for i in range(66)]))))
+    assert d == {f"n{i:02}": 66 - i for i in range(67)}
+
+
 def test_precedence(spark):
     c = spark.createDataFrame([(1, "a", 5, "s1", "x"), (2, "a", 3, "s2", "y"), (3, "b", 1, "s1", None), (4, None, 1, "s1", "x"), (5, None, 0, "s3", "x")], "id long, k string, rank int, src string, body string")
     assert {r[0] for r in rows(winners(c, ["k"], [F.asc("rank"), F.asc("id")]).select("id"))} == {2, 3, 5}
