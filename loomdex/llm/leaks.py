@@ -12,21 +12,23 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.plans.session import spread
+from loomdex.plans.session import spread, written
 
 #: An item is leaked by so many of its consecutive words.
 MIN_WORDS = 12
 #: Characters of a block of the shift table.
 BLOCK = 5
-#: Items searched for in one pass over the corpus; more are searched in further passes, so that the tables stay small.
-ITEMS_PER_PASS = 20_000
+#: Runs of words that one set of tables holds, whatever the number and length of the items; so a broadcast has some 60 MB at most.
+#: More are searched by further sets over the normalised texts, which then are written once.
+RUNS_PER_TABLE = 200_000
 
 #: Letters that compatibility decomposition leaves whole, and the plain letters they stand for.
 _FOLDED = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h", "ŧ": "t", "ŋ": "n", "ĸ": "k"})
@@ -104,33 +106,74 @@ class WuManber:
         return found
 
 
-def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id) for every document that holds at least ``run`` consecutive words of an item; distinct per row of the corpus.
-
-    The items are a stated query set: they are read to the driver and broadcast in blocks of ITEMS_PER_PASS, each searched
-    against all rows of the corpus. NULL and empty texts hold nothing; items shorter than ``run`` words
-    can't leak; items that share a passage are all reported; repeated items count once.
+def _item_words(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item_id, words) of the different items, normalised where they are."""
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [plain_words(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["item_id", "words"])
+
+    known = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    return known.mapInArrow(plain, "item_id bigint, words array<string>")
+
+
+def _tables(items: Iterable[tuple[int, list[str]]], run: int, most: int) -> Iterator[WuManber]:
+    """Search tables for all items, each of at most ``most`` runs; a long item goes on in the next one."""
+    held: list[tuple[int, list[str]]] = []
+    left = most
+    for item, words in items:
+        at = 0
+        while len(words) - at >= run:
+            n = min(left, len(words) - at - run + 1)
+            held.append((item, words[at : at + n + run - 1]))
+            at, left = at + n, left - n
+            if not left:
+                yield WuManber(held, run)
+                held, left = [], most
+    if held:
+        yield WuManber(held, run)
+
+
+def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = MIN_WORDS, most: int = RUNS_PER_TABLE) -> DataFrame:
+    """(doc_id, item_id) for every document that holds at least ``run`` consecutive words of an item; distinct for each document.
+
+    The items are a stated query set. Their runs are streamed through the driver into tables of at most ``most`` runs, which are
+    broadcast one by one; where one isn't enough, the corpus is normalised and written once, and every table searches that.
+    NULL and empty texts hold nothing; items shorter than ``run`` words can't leak; items that share a passage are all reported;
+    repeated items count once.
     """
     spark = corpus.sparkSession
-    known = sorted({(r[0], r[1]) for r in items.select(item_id, item_text).where(f"`{item_text}` IS NOT NULL AND `{item_id}` IS NOT NULL").toLocalIterator()})
-    rows = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string")))
-    out = None
-    for at in range(0, max(1, len(known)), ITEMS_PER_PASS):
-        shared = spark.sparkContext.broadcast(WuManber([(i, plain_words(t)) for i, t in known[at : at + ITEMS_PER_PASS]], run))
+    rows = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(plain_words(t)) if t else None for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    def searching(table: WuManber, split: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared = spark.sparkContext.broadcast(table)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             engine = shared.value
             for batch in batches:
                 docs, hits = [], []
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item in sorted(engine.find(plain_words(body))) if body else ():
+                    for item in sorted(engine.find(split(body))) if body else ():
                         docs.append(doc)
                         hits.append(item)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], ["doc_id", "item_id"])
 
-        part = rows.mapInArrow(search, "doc_id bigint, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return search
+
+    schema = "doc_id bigint, item_id bigint"
+    tables = _tables(((r.item_id, r.words) for r in _item_words(items, item_id, item_text).toLocalIterator()), run, most)
+    first, second = next(tables, None), next(tables, None)
+    if first is None:
+        return rows.select("doc_id", F.lit(None).cast("bigint").alias("item_id")).limit(0)
+    if second is None:
+        return rows.mapInArrow(searching(first, plain_words), schema).distinct()
+    texts = written(rows.mapInArrow(plain, "doc_id bigint, text string"))
+    parts = [texts.mapInArrow(searching(t, str.split), schema) for t in chain([first, second], tables)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

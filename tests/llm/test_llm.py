@@ -140,9 +140,18 @@ def test_leaks_against_brute_force(spark):
             if any(tuple(v[k : k + 12]) in grams for k in range(len(v) - 11)):
                 want.add((i, j))
     assert set(rows(leaks.leaks(d, t))) == want and len(want) > 50
+    assert rows(leaks.leaks(d, t, most=100)) == sorted(want, key=repr)  # several tables, items that go on in the next
     assert leaks.leaks(d, t.limit(0)).count() == 0 and leaks.leaks(d.limit(0), t).count() == 0
 
 
+def test_leaks_of_very_many_items(spark):
+    word = lambda i: f"w{i * 7919 % 99_991}"
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.concat(F.lit("w"), ((F.col("id") * 12 + k) * 7919 % 99_991).cast("string"))), " ").alias("text"))
+    docs = [(j, "x " + " ".join(word(j * 12 + k) for k in range(12)) + " y") for j in range(0, 100_000, 5000)] + [(7, "x " + " ".join(word(7 * 12 + k) for k in range(11)))]
+    got = rows(leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, most=40_000).where("doc_id = item_id"))
+    assert sorted(got) == [(j, j) for j in range(0, 100_000, 5000)]
+
+
 @pytest.mark.parametrize("garb", [
     lambda s: s.upper(), lambda s: s.replace(" ", "   \n> "), lambda s: s.replace("a", "á").replace("e", "e\u200b"), lambda s: s.replace(" w", " <b>w</b>").replace("keeper", "<i>kee</i>per"),
     lambda s: "".join(f"&#{ord(c)};" if c in "kw" else c for c in s), lambda s: s.replace("without", "with-\nout"), lambda s: s.replace(" ", ", “"), lambda s: s.replace("o", "o\xad"),
