@@ -60,7 +60,12 @@ _S, _L = (pa.string(), "string"), (pa.int64(), "bigint")
 
 def read_trees(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, field, label, type, value, error): leaves of tree files (GFF)."""
-    return _parsed(files(spark, path, glob), lambda p, b: formats.tree_leaves(b), [("field", *_S), ("label", *_S), ("type", *_S), ("value", *_S)])
+    return parse_trees(files(spark, path, glob))
+
+
+def parse_trees(frame: DataFrame) -> DataFrame:
+    """The same of files at hand (path, content), as the other parse_ functions."""
+    return _parsed(frame, lambda p, b: formats.tree_leaves(b), [("field", *_S), ("label", *_S), ("type", *_S), ("value", *_S)])
 
 
 def read_tree_strings(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -71,6 +76,10 @@ def read_tree_strings(spark: SparkSession, path: str, glob: str = "*") -> DataFr
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*", contents: bool = False) -> DataFrame:
     """(path, resref, ext, bytes, compressed[, body], error): entries of archives; bodies are unpacked if asked for."""
+    return parse_archives(files(spark, path, glob), contents)
+
+
+def parse_archives(frame: DataFrame, contents: bool = False) -> DataFrame:
     def rows(p: str, b: bytes):
         for resref, ext, at, size, packed in formats.archive_entries(b):
             if not contents:
@@ -85,16 +94,25 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*", contents: boo
             yield resref, ext, size, packed, body
 
     kinds = [("resref", *_S), ("ext", *_S), ("bytes", *_L), ("compressed", pa.bool_(), "boolean")]
-    return _parsed(files(spark, path, glob), rows, kinds + [("body", pa.binary(), "binary")] * contents)
+    return _parsed(frame, rows, kinds + [("body", pa.binary(), "binary")] * contents)
 
 
 def read_tables(spark: SparkSession, path: str, glob: str = "*.2da") -> DataFrame:
     """(path, row, label, col, value, error): cells of 2DA tables."""
-    return _parsed(files(spark, path, glob), lambda p, b: formats.table_cells(b.decode(formats.CODEPAGE, "replace")), [("row", *_L), ("label", *_S), ("col", *_S), ("value", *_S)])
+    return parse_tables(files(spark, path, glob))
+
+
+def parse_tables(frame: DataFrame) -> DataFrame:
+    return _parsed(frame, lambda p, b: formats.table_cells(b.decode(formats.CODEPAGE, "replace")), [("row", *_L), ("label", *_S), ("col", *_S), ("value", *_S)])
 
 
 def read_string_tables(spark: SparkSession, path: str, glob: str = "*.tlk") -> DataFrame:
-    return _parsed(files(spark, path, glob), lambda p, b: formats.string_table(b), [("index", *_L), ("text", *_S)])
+    """(path, index, text, error): texts of string tables."""
+    return parse_string_tables(files(spark, path, glob))
+
+
+def parse_string_tables(frame: DataFrame) -> DataFrame:
+    return _parsed(frame, lambda p, b: formats.string_table(b), [("index", *_L), ("text", *_S)])
 
 
 def overlay_strings(refs: DataFrame, base: DataFrame, custom: DataFrame) -> DataFrame:
