@@ -50,3 +50,15 @@ def case_twins(names: DataFrame, name: str) -> DataFrame:
     """(folded, spellings, n): names that differ in letter case only."""
     g = names.where(F.col(name).isNotNull()).groupBy(F.lower(name).alias("folded")).agg(F.array_sort(F.collect_set(name)).alias("s"))
     return g.where(F.size("s") > 1).select("folded", F.concat_ws(" | ", "s").alias("spellings"), F.size("s").cast("bigint").alias("n"))
+
+
+def subsets(groups: DataFrame, of: DataFrame) -> DataFrame:
+    """(group, within): groups of (group, member) all of whose members are in one group of ``of`` (group, member).
+
+    Members met are counted per pair of groups that share one, and compared with the group's size; pairs that share nothing never
+    meet. A NULL group or member is none; an empty group is no subset.
+    """
+    g = groups.select("group", "member").dropna().distinct()
+    size = g.groupBy("group").agg(F.count("*").alias("size"))
+    shared = g.join(of.select(F.col("group").alias("within"), "member").dropna().distinct(), "member").groupBy("group", "within").agg(F.count("*").alias("met"))
+    return shared.join(size, "group").where("met = size").select("group", "within")

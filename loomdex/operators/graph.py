@@ -161,6 +161,32 @@ def judge(affected: DataFrame, starts: DataFrame, live: DataFrame | None = None)
     return s.select("start", level.alias("level"), "total", "areas", "scripts", "quests", "placed")
 
 
+def breadcrumbs(edges: DataFrame, kinds: tuple[str, ...], most: int = 10) -> DataFrame:
+    """(node, depth, trail): for each node that something holds, its holders from the outermost in, joined by " > ".
+
+    Of several holders (src of an edge of ``kinds``) the least counts. A trail ends after ``most`` steps or where it would repeat.
+    """
+    held = edges.where(F.col("kind").isin(*kinds)).where("src <> dst")
+    up = cut(held.groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("holder")))
+    trail = up.select(F.col("at").alias("node"), F.col("holder").alias("top"), F.array("holder", "at").alias("path"))
+    for _ in range(most - 1):
+        grown = trail.join(up, trail["top"] == up["at"], "left")
+        more = F.col("holder").isNotNull() & ~F.array_contains("path", F.coalesce("holder", F.lit("")))
+        trail = cut(grown.select("node", F.when(more, F.col("holder")).alias("top"), F.when(more, F.array_prepend("path", F.col("holder"))).otherwise(F.col("path")).alias("path")))
+        if trail.where("top IS NOT NULL").isEmpty():
+            break
+    return trail.select("node", (F.size("path") - 1).alias("depth"), F.array_join("path", " > ").alias("trail"))
+
+
+def first_edges(edges: DataFrame, depths: DataFrame) -> DataFrame:
+    """(node, src, kind): the edge by which each node is met first: from the src of least depth, then least kind, then least src.
+
+    ``depths``: (node, depth) of what is met at all."""
+    d = depths.select(F.col("node").alias("src"), "depth").distinct()
+    e = edges.where("src <> dst").select("src", "dst", "kind").distinct().join(d, "src")
+    return e.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("depth", "kind", "src")).alias("m")).select("node", "m.src", "m.kind")
+
+
 def longest_chain(edges: DataFrame) -> DataFrame:
     """(node, depth): the most steps that lead on from each node. Nodes on one cycle count as a single node, so that chains end;
     there is no limit to their length, a round is one step."""

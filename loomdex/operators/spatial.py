@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.plans.session import cut
+
 
 def inside(x: Column, y: Column, polygon: Column) -> Column:
     """Whether a point lies in a polygon (array of structs x, y): an odd number of its sides pass to the right. False for fewer
@@ -32,11 +34,27 @@ def border_side(x: Column, y: Column, width: Column, height: Column, margin: flo
     return F.when(least <= margin, out)
 
 
-def nearest(points: DataFrame, others: DataFrame, group: list[str], id_col: str, other_id: str) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame, group: list[str], id_col: str, other_id: str, cell: float = 1.0) -> DataFrame:
     """(group, id, other, distance): for each point the nearest of ``others`` in its group; ties: least id.
 
-    Both sides have x and y. Points of a group meet all others of it, so groups must be bounded, as the objects of an area are.
+    Both sides have x and y; rows without are left out, and so are points of groups without others. Points look into the
+    nine squares of side ``cell`` around them; those that find nothing within one side look again into squares twice as large, until
+    none is left. Choose ``cell`` so that a square holds few others: pairs are formed only of what shares nine squares.
     """
-    o = others.select(*group, F.col(other_id).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-    return points.join(o, group).groupBy(*group, id_col).agg(F.min(F.struct(d.alias("distance"), F.col("other"))).alias("m")).select(*group, id_col, "m.other", "m.distance")
+    o = cut(others.where("x IS NOT NULL AND y IS NOT NULL").select(*group, F.col(other_id).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")).distinct())
+    left = points.where("x IS NOT NULL AND y IS NOT NULL").select(*group, id_col, "x", "y").distinct()
+    left = cut(left.join(o.select(*group).distinct(), group, "left_semi"))
+    out, side = None, float(cell)
+    while not left.isEmpty():
+        square = lambda c, d=0, side=side: F.floor(F.col(c) / side) + d
+        near = left.withColumn("i", F.explode(F.array(*[square("x", d) for d in (-1, 0, 1)]))).withColumn("j", F.explode(F.array(*[square("y", d) for d in (-1, 0, 1)])))
+        met = near.join(o.withColumn("i", square("ox")).withColumn("j", square("oy")), [*group, "i", "j"])
+        d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
+        best = met.groupBy(*group, id_col, "x", "y").agg(F.min(F.struct(d.alias("distance"), F.col("other"))).alias("m"))
+        done = cut(best.where(F.col("m.distance") <= side).select(*group, id_col, "x", "y", "m.other", "m.distance"))
+        out = done if out is None else out.unionByName(done)
+        left = cut(left.join(done.select(*group, id_col, "x", "y"), [*group, id_col, "x", "y"], "left_anti"))
+        side *= 2
+    if out is None:
+        out = left.join(o, group).withColumn("distance", F.lit(0.0))
+    return out.groupBy(*group, id_col).agg(F.min(F.struct("distance", "other")).alias("m")).select(*group, id_col, "m.other", "m.distance")

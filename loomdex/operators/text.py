@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,32 @@ def line_diff(pairs: DataFrame, id_col: str, before: str, after: str) -> DataFra
 
     rows = pairs.where(~F.col(before).eqNullSafe(F.col(after))).select(F.col(id_col).cast("bigint"), F.col(before), F.col(after))
     return rows.mapInArrow(run, "id bigint, place int, sign string, line string")
+
+
+def joined_labels(rows: DataFrame, key: list[str], label: str, most: int = 4, by: str = "; ") -> DataFrame:
+    """(key, labels, n): the least ``most`` different labels of each key, joined; … if there are more, which ``n`` counts.
+
+    Labels are ranked by a window that keeps ``most`` + 1 of a key on each map task, so that no list grows with the rows.
+    """
+    d = rows.select(*key, F.col(label).alias("label")).where("label IS NOT NULL").distinct()
+    top = d.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("label"))).where(F.col("place") <= most + 1)
+    lists = top.groupBy(*key).agg(F.array_sort(F.collect_list("label")).alias("all"))
+    text = F.array_join(F.slice("all", 1, most), by)
+    lists = lists.select(*key, F.when(F.size("all") > most, F.concat(text, F.lit(by + "…"))).otherwise(text).alias("labels"))
+    return lists.join(d.groupBy(*key).agg(F.count("*").alias("n")), key)
+
+
+def match_globs(names: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """(name, pattern): names that a pattern with * (any characters) and ? (one) matches, letter case aside.
+
+    Names meet only the patterns whose letters before the first such sign they begin with: their beginnings are filed for the
+    lengths that occur, so that it is an equi-join. Patterns that begin with a sign meet every name, each once.
+    """
+    p = patterns.select(F.col(pattern).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    p = p.withColumn("start", F.lower(F.regexp_extract("pattern", r"^[^*?]*", 0)))
+    lengths = sorted(r[0] for r in p.select(F.length("start")).distinct().collect())  # as many as a pattern is long
+    n = names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
+    filed = n.withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths] or [F.lit(0)]))).where(F.length("name") >= F.col("length")).withColumn("start", F.lower(F.left("name", F.col("length"))))
+    escaped = F.regexp_replace("pattern", r"([^\p{L}\p{N}_*?])", r"\\$1")
+    regex = F.concat(F.lit("(?is)^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    return filed.join(p, "start").where(F.rlike("name", regex)).select("name", "pattern").distinct()

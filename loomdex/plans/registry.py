@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.plans import attributes, auditing, duplicate_groups, event_groups, findings, index_diff, inference, module_graph, nested, planning, references, round_trips, scoring, text_search
+from loomdex.plans import attributes, auditing, duplicate_groups, event_groups, findings, index_diff, inference, module_graph, nested, planning, references, round_trips, scoring, structure, text_search
 from loomdex.plans.problem_sql import PROBLEM_SQL
 
 FLAGSHIP = "deletion_status"
@@ -20,6 +20,6 @@ QUERIES = {
 }
 SQL = dict(PROBLEM_SQL)
 
-for _module in (module_graph, duplicate_groups, text_search, findings, scoring, auditing, inference, event_groups, planning, round_trips):
+for _module in (module_graph, duplicate_groups, text_search, findings, scoring, auditing, inference, event_groups, planning, round_trips, structure):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -7,7 +7,7 @@ and the message without numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +38,37 @@ def _first_of(words: Column, some: tuple[str, ...]) -> Column:
 
 def _from(text: Column, part: Column) -> Column:
     """``text`` from where ``part`` begins, letter case aside."""
-    return F.substring(text, F.instr(F.lower(text), F.lower(part)), F.lit(MAX_LINE))
+    return F.substring(text, F.position(F.lower(part), F.lower(text)), F.lit(MAX_LINE))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _judged(ts: Column, body: Column, words: Column) -> Column:
+    """A struct of what a line without its prefix tells; its kind is NULL if it tells of no trouble."""
+    parts = F.split(body, r",\s*")
+    one = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+    named = F.get(F.filter(words, lambda x: x.rlike(r"^[\w\-]{1,32}\.[a-z0-9]{3}$")), F.lit(0))  # the first word that is a file's name
+    verdict = F.get(F.filter(parts, lambda x: F.rtrim(F.substring_index(x, ":", 1)).isin(*VERDICTS)), F.lit(0))
+    fault = F.coalesce(_first_of(words, FAULTS), _first_of(words, TROUBLES))
+    tag = F.trim(F.substring(F.get(F.filter(parts, lambda x: x.startswith("Tag:")), F.lit(0)), 5, MAX_LINE))
+    script = F.when(_after(words, "script") == "error", _after(words, "error")).otherwise(_after(words, "script"))
+    gone = (_has(words, *TRIED) & _has(words, *IN_VAIN) & named.isNotNull()) | (_has(words, "resource", "resref") & (_has(words, "missing") | (_has(words, "not") & _has(words, "found"))))
+    told = _from(body, F.coalesce(verdict, fault))
+    tells = lambda kind, subject, message: F.struct(F.lit(kind).alias("kind"), F.coalesce(subject, F.lit("")).alias("subject"), message.alias("message"))
+    case = (
+        F.when(one.endswith(".nss") & _has(words, "error"), tells("compile_error", F.substring_index(one, ".nss", 1), told))
+        .when(_has(words, "script") & _has(words, "took") & _has(words, "error"), tells("script_stopped", _after(words, "script"), _after(words, "error")))
+        .when(_has(words, "script") & _has(words, "error"), tells("script_error", script, told))
+        .when(gone, tells("missing_resource", F.coalesce(named, _after(words, "resource"), _after(words, "resref")), body))
+        .when(one.startswith("nwnx_") & fault.isNotNull(), tells("nwnx", one, told))
+        .when(_has(words, *FAULTS), tells("error", F.lit(""), told))
+        .when(_has(words, *TROUBLES), tells("warning", F.lit(""), told))
+    )
+    severity = lambda c: F.when(c["kind"] == "warning", "warning").otherwise("error")
+    return _let(case, lambda c: F.struct(ts.alias("ts"), c["kind"].alias("kind"), c["subject"].alias("subject"), c["message"].alias("message"), F.nullif(tag, F.lit("")).alias("tag"), severity(c).alias("severity")))
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -47,42 +77,24 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     A prefix is a time in brackets, perhaps after a letter for the level and before an origin in parentheses. NULL, blank and
     talk lines (a bracket that begins with CHAT) match nothing; a line is cut to MAX_LINE characters.
     """
-    raw = F.substring(F.trim(column), 1, MAX_LINE)
-    d = lines.where(F.col(column).rlike(r"\S")).withColumn("__raw", raw)
-    leveled = F.col("__raw").rlike(r"^[A-Z] \[")
-    opened = F.when(leveled, F.substring("__raw", 3, MAX_LINE)).otherwise(F.col("__raw"))
-    head = F.when(opened.startswith("["), F.substring_index(F.substring(opened, 2, MAX_LINE), "]", 1)).otherwise(F.lit(""))
-    timed = head.rlike(r"\d:\d\d:\d\d")
-    rest = F.when(timed, F.ltrim(F.substring(opened, F.length(head) + 3, F.lit(MAX_LINE)))).otherwise(F.col("__raw"))
-    d = d.withColumn("ts", F.when(timed, head)).withColumn("__rest", rest)
-    d = d.where(~F.col("__raw").startswith("[CHAT") & ~F.ltrim(F.substring("__raw", F.instr("__raw", "]") + 1, F.lit(8))).startswith("[CHAT"))
-    origin = leveled & F.col("__rest").rlike(r"^\w* ?\(")
-    body = F.when(origin, F.ltrim(F.substring("__rest", F.instr("__rest", ")") + 1, F.lit(MAX_LINE)), F.lit(": "))).otherwise(F.col("__rest"))
-    d = d.withColumn("__body", body).withColumn("__words", F.filter(F.split(F.lower("__body"), r"[^\w.\-]+"), lambda x: x != "")).withColumn("__parts", F.split("__body", r",\s*"))
-    b, w, parts = F.col("__body"), F.col("__words"), F.col("__parts")
-    one = F.coalesce(F.get(w, F.lit(0)), F.lit(""))
-    named = F.get(F.filter(w, lambda x: x.rlike(r"^[\w\-]{1,32}\.[a-z0-9]{3}$")), F.lit(0))  # the first word that is a file's name
-    verdict = F.get(F.filter(parts, lambda x: F.rtrim(F.substring_index(x, ":", 1)).isin(*VERDICTS)), F.lit(0))
-    fault = F.coalesce(_first_of(w, FAULTS), _first_of(w, TROUBLES))
-    tag = F.get(F.filter(parts, lambda x: x.startswith("Tag:")), F.lit(0))
-    script = F.when(_after(w, "script") == "error", _after(w, "error")).otherwise(_after(w, "script"))
-    gone = (_has(w, *TRIED) & _has(w, *IN_VAIN) & named.isNotNull()) | (_has(w, "resource", "resref") & (_has(w, "missing") | (_has(w, "not") & _has(w, "found"))))
-    told = F.when(verdict.isNotNull(), _from(b, verdict)).otherwise(_from(b, fault))
-    cases = (  # kind, condition, what it names, message
-        ("compile_error", one.endswith(".nss") & _has(w, "error"), F.substring_index(one, ".nss", 1), told),
-        ("script_stopped", _has(w, "script") & _has(w, "took") & _has(w, "error"), _after(w, "script"), _after(w, "error")),
-        ("script_error", _has(w, "script") & _has(w, "error"), script, told),
-        ("missing_resource", gone, F.coalesce(named, _after(w, "resource"), _after(w, "resref")), b),
-        ("nwnx", one.startswith("nwnx_") & fault.isNotNull(), one, told),
-        ("error", _has(w, *FAULTS), F.lit(""), told),
-        ("warning", _has(w, *TROUBLES), F.lit(""), told),
-    )
-    kind, subject, message = F.lit(None).cast("string"), F.lit(None).cast("string"), b
-    for k, holds, names, says in reversed(cases):
-        kind, subject, message = F.when(holds, k).otherwise(kind), F.when(holds, names).otherwise(subject), F.when(holds, says).otherwise(message)
-    d = d.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("subject", F.coalesce(subject, F.lit(""))).withColumn("message", message)
-    d = d.withColumn("tag", F.nullif(F.trim(F.substring(tag, 5, MAX_LINE)), F.lit("")))
-    return d.withColumn("severity", F.when(F.col("kind") == "warning", "warning").otherwise("error")).drop("__raw", "__rest", "__body", "__words", "__parts")
+    talk = r"^(?:\[[^\]]*\] *)?\[CHAT"
+
+    def stripped(opened: Column, head: Column, leveled: Column) -> Column:
+        """The line without its prefix."""
+        timed = head.rlike(r"\d:\d\d:\d\d")
+        rest = F.when(timed, F.ltrim(F.substring(opened, F.length(head) + 3, F.lit(MAX_LINE)))).otherwise(opened)
+        body = lambda r: F.when(leveled & r.rlike(r"^\w* ?\("), F.ltrim(F.substring(r, F.instr(r, ")") + 1, F.lit(MAX_LINE)), F.lit(": "))).otherwise(r)
+        return _let(rest, lambda r: _let(body(r), lambda b: _let(F.filter(F.split(F.lower(b), r"[^\w.\-]+"), lambda x: x != ""), lambda w: _judged(F.when(timed, head), b, w))))
+
+    def opened(raw: Column) -> Column:
+        leveled = raw.rlike(r"^[A-Z] \[")
+        start = F.when(leveled, F.substring(raw, 3, MAX_LINE)).otherwise(raw)
+        head = lambda o: F.when(o.startswith("["), F.substring_index(F.substring(o, 2, MAX_LINE), "]", 1)).otherwise(F.lit(""))
+        return _let(start, lambda o: _let(head(o), lambda h: stripped(o, h, leveled)))
+
+    judged = _let(F.substring(F.trim(column), 1, MAX_LINE), opened)
+    d = lines.where(F.col(column).rlike(r"\S") & ~F.trim(column).rlike(talk))
+    return d.select("*", F.inline(F.filter(F.array(judged), lambda x: x["kind"].isNotNull())))
 
 
 KEY = ("kind", "subject", "signature", "severity")
