@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loomdex.plans.session import ensure_checkpoint_dir, table
 
@@ -22,18 +23,23 @@ def log_groups(spark, sf_dir):
     return _grouped(table(spark, sf_dir, "events"))
 
 
-def run_available(stream: DataFrame, mode: str, spark, schema=None) -> DataFrame:
-    """Runs a streaming aggregation over all that is available and gives what it wrote: the last whole result in complete mode,
-    all results in append mode. State and results lie in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, mode: str, spark, key: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a streaming aggregation over all that is available and gives what it wrote: the last whole result in complete mode, the
+    last row of each key in update mode. State and results lie in the shared checkpoint folder; a batch that is run again
+    replaces what it wrote."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    whole = mode == "complete"
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out" if whole else f"{base}/out/batch={n}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if whole:
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in key]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*").select(*stream.columns)
 
 
 def _stream(spark, sf_dir) -> DataFrame:
@@ -58,7 +64,7 @@ def windowed_counts_stream(spark, sf_dir):
     """The same from a stream with a watermark: late rows up to a day count, older state is dropped."""
     e = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-    return run_available(g, "complete", spark)
+    return run_available(g, "update", spark, ("start", "event_type"))
 
 
 def json_meta(spark, sf_dir):

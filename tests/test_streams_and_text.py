@@ -137,6 +137,26 @@ def test_facts(spark):
             bad()
 
 
+def test_tail_reads_ranges_whole_lines_once(tmp_path, monkeypatch):
+    from loomdex.streaming import tail
+
+    monkeypatch.setattr(tail, "RANGE", 7)
+    monkeypatch.setattr(tail, "BACK", 5)
+    log = tmp_path / "a.log"
+    lines_ = ["one", "", "a much longer line", "x", "ünd", "y" * 30]
+    log.write_bytes("\n".join(lines_).encode() + b"\nnot yet done")
+    reader = tail.TailReader(str(tmp_path / "*.log"))
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) > 5 and [v for p in parts for v, _ in reader.read(p)] == lines_
+    with log.open("ab") as f:
+        f.write(b"\r\nlast\n")
+    later = reader.latestOffset()
+    assert [v for p in reader.partitions(end, later) for v, _ in reader.read(p)] == ["not yet done", "last"]
+    log.write_text("anew\n")
+    assert [v for p in reader.partitions(later, reader.latestOffset()) for v, _ in reader.read(p)] == ["anew"]
+
+
 def test_replacing_takes_signs_as_they_are(spark):
     from loomdex.operators.text import replace_plan
 
